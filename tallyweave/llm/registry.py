@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyweave.llm import simhash
+from tallyweave.llm import quality, simhash
 from tallyweave.session import table
 
 
@@ -11,5 +11,12 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup,)}
+def op7_quality_rules(spark, sf_dir):
+    """The quality rules' counts and verdicts for all documents."""
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *counts, "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op7_quality_rules)}
 ORACLES: dict[str, str] = {}
