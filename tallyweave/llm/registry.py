@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from tallyweave.llm import quality, simhash
+import public_tokenizers
+
+from tallyweave.llm import bpe, packing, quality, simhash, tokencount
 from tallyweave.session import table
 
 
+def op1_best_fit_packing(spark, sf_dir):
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     """SimHash classes of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -18,5 +25,15 @@ def op7_quality_rules(spark, sf_dir):
     return found.select("doc_id", *counts, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op7_quality_rules)}
+def op9_token_counts(spark, sf_dir):
+    """Unigram token counts of all documents."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_byte_bpe(spark, sf_dir):
+    """Byte-level BPE of all documents, and back."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op7_quality_rules, op9_token_counts, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
