@@ -9,7 +9,7 @@ Distribution: the index has several top nodes for each third of the bits, each f
 third. Fingerprints at 2 or fewer differing bits agree on one third at least, so each enters the index once
 a third and meets all its partners there. A top node that would hold more than ``MOST`` fingerprints is
 replaced by lower ones which fix that whole third and then, by the same argument, a third of the bits that
-are left, and so on. After five levels at most 10 bits are free, so no node ever holds more than 1024
+are left, and so on. After six levels at most 7 bits are free, so no node ever holds more than 512
 distinct fingerprints, whatever the data; nothing is capped. Only links that join the parts of a node into
 its local components leave it, fewer than it has fingerprints.
 """
@@ -30,7 +30,7 @@ from tallyweave.llm.common import free_name, map_arrow, written
 from tallyweave.llm.components import components
 
 #: Distinct fingerprints below one top node at most, and those aimed at.
-MOST, AIM = 1024, 256
+MOST, AIM = 512, 128
 LEAF, FAN = 16, 8
 LIMIT = 2
 _PART = 1 << 16
@@ -219,7 +219,7 @@ def links(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
         at = at.withColumn("bits", F.col("fp").bitwiseAND(F.get(literal, F.col("node"))))
         full = written(at.groupBy("node", "bits").count().where(F.col("count") > MOST).select(F.col("node").alias("n_"), F.col("bits").alias("b_")))
         on = (F.col("node") == F.col("n_")) & (F.col("bits") == F.col("b_"))
-        more = bool(full.head(1)) and level < 5
+        more = bool(full.head(1)) and level < 6
         here = at.join(full, on, "left_anti") if more else at
         dealt = here.select("node", "bits", "fp", "rep").repartition("node", "bits").sortWithinPartitions("node", "bits")
         found = map_arrow(dealt, _linked, "a long, b long")
