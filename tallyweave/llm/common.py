@@ -32,14 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
 _made: set[str] = set()
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Rows up to which a side of a join of a few words a row is sent to every executor, after it was counted.
+SMALL = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (it is counted); else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder: computed once, its lineage cut, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_drop_all, spark)
     _made.add(path)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
