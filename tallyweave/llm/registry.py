@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyweave.llm import bpe, packing, quality, simhash, tokencount
+from tallyweave.llm import bpe, lines, packing, quality, simhash, tokencount
 from tallyweave.session import table
 
 
@@ -13,6 +13,11 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op2_line_dedup(spark, sf_dir):
+    """All documents without their repeated lines."""
+    return lines.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     """SimHash classes of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -35,5 +40,5 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op7_quality_rules, op9_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op7_quality_rules, op9_token_counts, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
