@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyweave.llm import bpe, lines, packing, quality, simhash, tokencount
+from tallyweave.llm import bpe, chat, lines, packing, quality, simhash, tokencount
 from tallyweave.session import table
 
 
@@ -23,6 +23,15 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark, sf_dir):
+    """All conversations and conversation -7, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    windows = chat.formatted(turns.unionByName(more), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return chat.read_back(windows)
+
+
 def op7_quality_rules(spark, sf_dir):
     """The quality rules' counts and verdicts for all documents."""
     found = quality.judged(table(spark, sf_dir, "documents"))
@@ -40,5 +49,5 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op7_quality_rules, op9_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op5_chat_formatting, op7_quality_rules, op9_token_counts, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
