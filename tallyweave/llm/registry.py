@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyweave.llm import bpe, chat, lines, packing, quality, simhash, tokencount
+from tallyweave.llm import bpe, chat, embeddings, lines, packing, quality, simhash, tokencount
 from tallyweave.session import table
 
 
@@ -23,6 +23,11 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark, sf_dir):
+    """Links and classes of all embeddings at cosine 0.93."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op5_chat_formatting(spark, sf_dir):
     """All conversations and conversation -7, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -49,5 +54,5 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op5_chat_formatting, op7_quality_rules, op9_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op4_embedding_near_dedup, op5_chat_formatting, op7_quality_rules, op9_token_counts, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
