@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyweave.llm import bpe, chat, embeddings, lines, packing, quality, simhash, tokencount
+from tallyweave.llm import bpe, chat, embeddings, html, lines, packing, quality, simhash, tokencount
 from tallyweave.session import table
 
 
@@ -44,6 +44,11 @@ def op7_quality_rules(spark, sf_dir):
     return found.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op8_html_extraction(spark, sf_dir):
+    """Main texts of all pages."""
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark, sf_dir):
     """Unigram token counts of all documents."""
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -54,5 +59,5 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op4_embedding_near_dedup, op5_chat_formatting, op7_quality_rules, op9_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op4_embedding_near_dedup, op5_chat_formatting, op7_quality_rules, op8_html_extraction, op9_token_counts, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
