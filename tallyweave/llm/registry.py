@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallyweave.llm import bpe, chat, embeddings, html, lines, packing, quality, simhash, tokencount
+from tallyweave.llm import bpe, chat, embeddings, html, lines, lm, packing, quality, simhash, tokencount
 from tallyweave.session import table
 
 
@@ -37,6 +37,11 @@ def op5_chat_formatting(spark, sf_dir):
     return chat.read_back(windows)
 
 
+def op6_lm_scoring(spark, sf_dir):
+    """Model and base scores of all documents."""
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     """The quality rules' counts and verdicts for all documents."""
     found = quality.judged(table(spark, sf_dir, "documents"))
@@ -59,5 +64,5 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op4_embedding_near_dedup, op5_chat_formatting, op7_quality_rules, op8_html_extraction, op9_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op4_embedding_near_dedup, op5_chat_formatting, op6_lm_scoring, op7_quality_rules, op8_html_extraction, op9_token_counts, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
