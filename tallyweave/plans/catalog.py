@@ -1,4 +1,554 @@
-"""Queries over the driver's tables, and the SQL that each is held against."""
+"""Queries over the driver's tables, and the SQL that each is held against.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no traces, token ids or probabilities, so stand-ins take their place: words hashed to ids for
+tokens, documents for responses, line quantities for probabilities and entropies, and strings built from keys for
+answers. They exercise the operators; they mean nothing by themselves.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tallyweave.functions import keyed_hash, stats, text
+from tallyweave.operators import masking, pairs, scoring, split, tokens, trees
+from tallyweave.session import table
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+KEY = keyed_hash.HashKey()
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query, and its SQL if it has one."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL parts ---------------------------------------------------------------------------------------------
+
+
+def _wrap(x: str) -> str:
+    """SQL: a 128-bit integer as a wrapped signed 64-bit one."""
+    m = f"(((({x}) % 18446744073709551616::HUGEINT) + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT)"
+    return f"(CASE WHEN {m} >= 9223372036854775808::HUGEINT THEN {m} - 18446744073709551616::HUGEINT ELSE {m} END)::BIGINT"
+
+
+def _hash_steps(source: str, columns: str) -> str:
+    """SQL: common table expressions that add ``x``, the 63-bit hash of (prev, cur, token), to ``source``."""
+    mul = lambda a, m: _wrap(f"{a}::HUGEINT * {m}::HUGEINT")
+    return f"""
+      k1 AS (SELECT {columns}, xor(xor(xor({mul('token', keyed_hash.M1)}, {mul('prev', keyed_hash.M2)}), {mul('cur', keyed_hash.M3)}), {KEY.seed}) AS x FROM {source}),
+      k2 AS (SELECT * REPLACE (xor(x, x >> 30) AS x) FROM k1), k3 AS (SELECT * REPLACE ({mul('x', keyed_hash.M2)} AS x) FROM k2),
+      k4 AS (SELECT * REPLACE (xor(x, x >> 27) AS x) FROM k3), k5 AS (SELECT * REPLACE ({mul('x', keyed_hash.M3)} AS x) FROM k4),
+      hashed AS (SELECT * REPLACE (xor(x, x >> 31) & 9223372036854775807 AS x) FROM k5)"""
+
+
+_ID = "(('0x' || substr(md5({w}), 1, 15))::BIGINT % 151936)"
+_TOKENS = f"""
+      words AS (SELECT doc_id AS id, string_split(lower(text), ' ') AS ws FROM documents),
+      places AS (SELECT id, ws, unnest(range(len(ws))) AS pos FROM words),
+      toks AS (SELECT id, pos, {_ID.format(w="ws[pos + 1]")} AS token FROM places)"""
+_BIGRAMS = f"""{_TOKENS},
+      grams AS (SELECT * FROM (SELECT id, pos, coalesce(lag(token) OVER (PARTITION BY id ORDER BY pos), -1) AS prev, token AS cur,
+        lead(token) OVER (PARTITION BY id ORDER BY pos) AS token FROM toks) WHERE token IS NOT NULL)"""
+_HIT = "x < 4611686018427387648"
+
+
+def _hoeffding(mean: str, n: str, gamma: str = "0.5") -> str:
+    return f"CASE WHEN {n} <= 0 OR {mean} <= {gamma} THEN 1.0::DOUBLE ELSE greatest(1e-300::DOUBLE, exp(-2 * {n} * ({mean} - {gamma}) * ({mean} - {gamma}))) END"
+
+
+# --- the keyed-hash signal test ------------------------------------------------------------------------------
+
+
+def _first_hits(spark, sf_dir, world: int = 1):
+    """First occurrence of each context in shard order, with its membership."""
+    grams = tokens.bigrams(tokens.positions(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    rank, place = tokens.shard(F.col("id"), world)
+    first = tokens.first_occurrence(grams.withColumns({"rank": rank, "place": place}), ["prev", "cur"], ["rank", "place", "pos"], ["token"])
+    return keyed_hash.with_hash(first, "prev", "cur", "token", KEY).withColumn("hit", keyed_hash.in_set(F.col("x"), KEY))
+
+
+def _first_sql(world: int) -> str:
+    return f"""{_BIGRAMS},
+      firsts AS (SELECT prev, cur, arg_min(token, (id % {world}, id // {world}, pos)) AS token, count(*) AS times FROM grams GROUP BY prev, cur),
+      {_hash_steps('firsts', 'prev, cur, token, times')}"""
+
+
+@query(f"""WITH {_first_sql(1)}, s AS (SELECT count(*)::BIGINT AS n, count(*) FILTER ({_HIT})::BIGINT AS hits FROM hashed)
+      SELECT n, hits, round(hits / n::DOUBLE, 9) AS mean, round({_hoeffding('(hits / n::DOUBLE)', 'n')}, 9) AS p_value, {_hoeffding('(hits / n::DOUBLE)', 'n')} < 0.05 AS detected FROM s""")
+def signal_test(spark, sf_dir):
+    """Distinct contexts, hits among their first next tokens, and the one-sided tail."""
+    s = _first_hits(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    p = stats.hoeffding(F.col("hits") / F.col("n"), F.col("n"), KEY.gamma)
+    return s.select("n", "hits", F.round(F.col("hits") / F.col("n"), 9).alias("mean"), F.round(p, 9).alias("p_value"), (p < 0.05).alias("detected"))
+
+
+@query(f"""WITH {_first_sql(3)} SELECT (cur % 10)::BIGINT AS cell, count(*)::BIGINT AS n, count(*) FILTER ({_HIT})::BIGINT AS hits, sum(times)::BIGINT AS positions FROM hashed GROUP BY 1""")
+def signal_by_cell_world3(spark, sf_dir):
+    """Hits by cell of the context, first occurrences in the order of three shards."""
+    found = _first_hits(spark, sf_dir, 3).groupBy((F.col("cur") % 10).alias("cell"))
+    return found.agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.sum("times").alias("positions"))
+
+
+@query(f"""WITH {_BIGRAMS}, {_hash_steps('grams', 'id, pos, prev, cur, token')}
+      SELECT id, count(*)::BIGINT AS n, count(*) FILTER ({_HIT})::BIGINT AS hits, bit_xor(x)::BIGINT AS checksum FROM hashed GROUP BY id""")
+def keyed_hash_positions(spark, sf_dir):
+    """The hash at every position, as counts and a checksum a document."""
+    grams = tokens.bigrams(tokens.positions(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    hashed = keyed_hash.with_hash(grams, "prev", "cur", "token", KEY)
+    return hashed.groupBy("id").agg(F.count("*").alias("n"), F.count_if(keyed_hash.in_set(F.col("x"), KEY)).alias("hits"), F.bit_xor("x").alias("checksum"))
+
+
+@query(f"""WITH {_BIGRAMS}, g AS (SELECT * FROM grams WHERE cur % 7 <> 0), {_hash_steps('g', 'id, pos, prev, cur, token')},
+      s AS (SELECT source, count(*)::BIGINT AS n, count(*) FILTER (x::DOUBLE / 9223372036854775808.0::DOUBLE < 0.37 AND token NOT IN (0, 1, 2))::BIGINT AS hits FROM hashed JOIN documents ON id = doc_id GROUP BY source)
+      SELECT source, n, hits, round({_hoeffding('(hits / n::DOUBLE)', 'n', '0.37')}, 9) AS p_value FROM s""")
+def closed_mode_by_source(spark, sf_dir):
+    """Hits of the observed next token outside gamma one half, for contexts of the shared vocabulary, by source."""
+    key = keyed_hash.HashKey(gamma=0.37)
+    docs = table(spark, sf_dir, "documents")
+    grams = tokens.bigrams(tokens.positions(docs, "doc_id", "text")).where("cur % 7 != 0")
+    hashed = keyed_hash.with_hash(grams, "prev", "cur", "token", key)
+    hit = keyed_hash.in_set(F.col("x"), key, F.col("token"), (0, 1, 2))
+    s = hashed.join(docs.select("doc_id", "source"), F.col("id") == F.col("doc_id")).groupBy("source").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+    return s.select("source", "n", "hits", F.round(stats.hoeffding(F.col("hits") / F.col("n"), F.col("n"), 0.37), 9).alias("p_value"))
+
+
+@query(f"""WITH {_TOKENS}, seqs AS (SELECT id, list(token ORDER BY pos) AS t FROM toks GROUP BY id),
+      grams AS (SELECT id, t, unnest(range(4, len(t))) AS pos FROM seqs WHERE len(t) > 4),
+      n AS (SELECT id, t[pos - 2 : pos] AS context, t[pos + 1] AS target FROM grams)
+      SELECT id, count(*)::BIGINT AS n, count(DISTINCT context)::BIGINT AS contexts, count(DISTINCT (context, target))::BIGINT AS pairs, round(1 - count(DISTINCT context) / count(*)::DOUBLE, 9) AS repeated FROM n GROUP BY id""")
+def corpus_ngrams(spark, sf_dir):
+    """Three-token contexts by the corpus rule, and how many repeat, a document."""
+    n = tokens.ngrams(tokens.token_arrays(table(spark, sf_dir, "documents"), "doc_id", "text"), 3)
+    out = n.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("context").alias("contexts"), F.countDistinct("context", "target").alias("pairs"))
+    return out.withColumn("repeated", F.round(1 - F.col("contexts") / F.col("n"), 9))
+
+
+@query(f"""WITH {_TOKENS}, seqs AS (SELECT id, list(token ORDER BY pos) AS t FROM toks GROUP BY id),
+      grams AS (SELECT id, t, unnest(range(5, len(t))) AS pos FROM seqs WHERE len(t) > 5)
+      SELECT id, min(pos)::BIGINT AS first, count(*)::BIGINT AS n, sum(t[pos + 1])::BIGINT AS targets FROM grams GROUP BY id""")
+def response_ngrams(spark, sf_dir):
+    """Targets by the response rule, from position five on."""
+    n = tokens.ngrams(tokens.token_arrays(table(spark, sf_dir, "documents"), "doc_id", "text"), 3, first=5)
+    return n.groupBy("id").agg(F.min("pos").cast("long").alias("first"), F.count("*").alias("n"), F.sum("target").alias("targets"))
+
+
+# --- corpus preparation --------------------------------------------------------------------------------------
+
+_SPLIT = dict(train=300, evaluation=60, per_prompt=3, most_tokens=3000)
+_SPLIT_SQL = """
+      base AS (SELECT doc_id AS scan_pos, source || '/' || (doc_id // 40) % 30 AS prompt, text AS response, n_chars AS n_tokens FROM documents),
+      h AS (SELECT *, sha256(prompt || chr(0) || response) AS trace, ('0x' || substr(sha256('42' || chr(0) || prompt), 1, 16))::UBIGINT % 5 = 0 AS is_eval, n_tokens <= 3000 AS fits FROM base),
+      f AS (SELECT trace, min(scan_pos) AS scan_pos, arg_min(prompt, scan_pos) AS prompt, arg_min(is_eval, scan_pos) AS is_eval FROM h WHERE fits GROUP BY trace),
+      s AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY scan_pos) AS share FROM f),
+      q AS (SELECT *, row_number() OVER (PARTITION BY is_eval ORDER BY scan_pos) AS place FROM s WHERE share <= CASE WHEN is_eval THEN 1 ELSE 3 END),
+      taken AS (SELECT * FROM q WHERE place <= CASE WHEN is_eval THEN 60 ELSE 300 END),
+      full_at AS (SELECT max(CASE WHEN NOT is_eval AND place = 300 THEN scan_pos END) AS ft, max(CASE WHEN is_eval AND place = 60 THEN scan_pos END) AS fe FROM taken),
+      d AS (SELECT h.*, t.scan_pos AS t_pos, ft, fe FROM h LEFT JOIN taken t USING (trace) CROSS JOIN full_at WHERE ft IS NULL OR fe IS NULL OR h.scan_pos <= greatest(ft, fe)),
+      r AS (SELECT *, CASE WHEN scan_pos = t_pos THEN 'accepted' WHEN t_pos < scan_pos THEN 'duplicate_trace' WHEN NOT fits THEN 'over_token_limit'
+        WHEN is_eval AND coalesce(scan_pos > fe, false) THEN 'eval_full' WHEN is_eval THEN 'extra_eval_trace' WHEN coalesce(scan_pos > ft, false) THEN 'train_full' ELSE 'too_many_train_traces' END AS reason FROM d)"""
+
+
+def _split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    prompt = F.concat(F.col("source"), F.lit("/"), (F.floor(F.col("doc_id") / 40) % 30).cast("string"))
+    rows = docs.select(F.col("doc_id").alias("scan_pos"), prompt.alias("prompt"), F.col("text").alias("response"), F.col("n_chars").alias("n_tokens"))
+    return split.leakage_free_split(rows, 42, **_SPLIT)
+
+
+@query(f"WITH {_SPLIT_SQL} SELECT CASE WHEN is_eval THEN 'eval' ELSE 'train' END AS split, reason, count(*)::BIGINT AS n, min(scan_pos) AS first, max(scan_pos) AS last FROM r GROUP BY 1, 2")
+def split_reject_histogram(spark, sf_dir):
+    """Why rows were taken or not."""
+    return _split(spark, sf_dir).groupBy("split", "reason").agg(F.count("*").alias("n"), F.min("scan_pos").alias("first"), F.max("scan_pos").alias("last"))
+
+
+@query(f"WITH {_SPLIT_SQL} SELECT scan_pos, CASE WHEN is_eval THEN 'eval' ELSE 'train' END AS split, trace, sha256('42' || chr(0) || CASE WHEN is_eval THEN 'eval' ELSE 'train' END || chr(0) || prompt || chr(0) || response) AS order_key FROM r WHERE reason = 'accepted'")
+def split_accepted(spark, sf_dir):
+    """The accepted rows with the key of their stable order."""
+    out = _split(spark, sf_dir).where("accepted")
+    return out.select("scan_pos", "split", "trace", text.stable_hash(F.lit("42"), F.col("split"), F.col("prompt"), F.col("response")).alias("order_key"))
+
+
+@query(f"""WITH {_SPLIT_SQL} SELECT count(DISTINCT prompt)::BIGINT AS prompts, count(DISTINCT CASE WHEN is_eval THEN prompt END)::BIGINT AS eval_prompts,
+      (SELECT count(*) FROM (SELECT prompt FROM r WHERE reason = 'accepted' AND is_eval INTERSECT SELECT prompt FROM r WHERE reason = 'accepted' AND NOT is_eval))::BIGINT AS shared FROM r WHERE reason = 'accepted'""")
+def split_overlap(spark, sf_dir):
+    """Prompts of the splits, and how many are in both."""
+    out = _split(spark, sf_dir).where("accepted").groupBy("prompt").agg(F.count_if(F.col("split") == "eval").alias("e"), F.count_if(F.col("split") == "train").alias("t"))
+    return out.agg(F.count("*").alias("prompts"), F.count_if(F.col("e") > 0).alias("eval_prompts"), F.count_if((F.col("e") > 0) & (F.col("t") > 0)).alias("shared"))
+
+
+@query("""SELECT per, count(*)::BIGINT AS prompts, sum(n)::BIGINT AS traces FROM (SELECT md5(text) AS k, count(*) AS n, least(count(*), 4)::BIGINT AS per FROM documents GROUP BY 1) GROUP BY per""")
+def copies_histogram(spark, sf_dir):
+    """How many texts come once, twice, three times or more."""
+    each = table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("k")).agg(F.count("*").alias("n"))
+    return each.groupBy(F.least("n", F.lit(4)).cast("long").alias("per")).agg(F.count("*").alias("prompts"), F.sum("n").alias("traces"))
+
+
+@query("""WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+      f AS (SELECT unnest([0.5, 0.75, 0.9, 0.95]::DOUBLE[]) AS f)
+      SELECT lang, f AS fraction, max(CASE WHEN i = round_even((n - 1) * f, 0)::BIGINT THEN n_chars END)::BIGINT AS nearest_rank, round(quantile_cont(n_chars::DOUBLE, f), 6) AS linear FROM r, f GROUP BY lang, f""".replace("quantile_cont(n_chars::DOUBLE, f)", "CASE f WHEN 0.5 THEN quantile_cont(n_chars::DOUBLE, 0.5) WHEN 0.75 THEN quantile_cont(n_chars::DOUBLE, 0.75) WHEN 0.9 THEN quantile_cont(n_chars::DOUBLE, 0.9) ELSE quantile_cont(n_chars::DOUBLE, 0.95) END"))
+def length_percentiles(spark, sf_dir):
+    """Nearest-rank (half-even) and linear percentiles of lengths, a language."""
+    w = Window.partitionBy("lang")
+    docs = table(spark, sf_dir, "documents").select("lang", "n_chars")
+    ranked = docs.withColumns({"i": F.row_number().over(w.orderBy("n_chars")) - 1, "n": F.count("*").over(w)})
+    near = ranked.select("*", F.explode(F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95)))).alias("fraction")).where(F.col("i") == F.bround((F.col("n") - 1) * F.col("fraction")))
+    near = near.select("lang", "fraction", F.col("n_chars").alias("nearest_rank"))
+    line = docs.groupBy("lang").agg(F.percentile("n_chars", F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95)))).alias("ps"))
+    line = line.select("lang", F.explode(F.map_from_arrays(F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95))), "ps")).alias("fraction", "linear"))
+    return near.join(line, ["lang", "fraction"]).select("lang", "fraction", "nearest_rank", F.round("linear", 6).alias("linear"))
+
+
+def _messages(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("t"))
+    return rows.select("conv_id", F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
+@query("""WITH m AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS rs, list(text ORDER BY turn, role, text) AS ts FROM conversations GROUP BY conv_id),
+      x AS (SELECT conv_id, len(rs) AS n, array_to_string([('<|im_start|>' || rs[i] || chr(10) || ts[i] || '<|im_end|>' || chr(10)) for i in range(1, len(rs) + 1)], '') AS a,
+        array_to_string([('<|im_start|>' || rs[i] || chr(10) || ts[i] || '<|im_end|>') for i in range(1, len(rs) + 1)], chr(10)) || chr(10) || '<|im_start|>assistant' || chr(10) AS b,
+        list_bool_or([(coalesce(rs[i], '') = '' OR coalesce(ts[i], '') = '') for i in range(1, len(rs) + 1)]) AS bad,
+        array_to_string([(upper(rs[i][1]) || rs[i][2:] || ': ' || rtrim(ts[i])) for i in range(1, len(rs) + 1) if ts[i] <> ''], chr(10)) || chr(10) || 'Assistant:' AS c FROM m)
+      SELECT conv_id, n::BIGINT AS n_turns, md5(a) AS chatml_md5, length(a)::BIGINT AS chatml_chars, md5(CASE WHEN bad THEN '' ELSE b END) AS prompt_md5, md5(c) AS plain_md5 FROM x""")
+def conversation_rendering(spark, sf_dir):
+    """Each conversation in three renderings."""
+    m = _messages(spark, sf_dir)
+    a = text.chatml(F.col("messages"))
+    return m.select(
+        "conv_id", F.size("messages").cast("long").alias("n_turns"), F.md5(a).alias("chatml_md5"), F.length(a).cast("long").alias("chatml_chars"),
+        F.md5(text.chat_prompt(F.col("messages"))).alias("prompt_md5"), F.md5(text.role_prefixed(F.col("messages"))).alias("plain_md5"),
+    )
+
+
+@query("""WITH RECURSIVE m AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent, role, text FROM conversations),
+      t AS (SELECT id, 0 AS depth, length(text) AS chars, role AS path FROM m WHERE parent IS NULL
+        UNION ALL SELECT m.id, t.depth + 1, t.chars + length(m.text), t.path || '>' || m.role FROM m JOIN t ON m.parent = t.id)
+      SELECT id AS message_id, depth::BIGINT AS depth, chars::BIGINT AS path_chars, path FROM t""")
+def reply_chains(spark, sf_dir):
+    """Every message with the chain of turns that leads to it."""
+    turns = table(spark, sf_dir, "conversations")
+    id_ = F.col("conv_id") * 1000 + F.col("turn")
+    rows = turns.select(id_.alias("message_id"), F.when(F.col("turn") > 0, id_ - 1).alias("parent_id"), "role", "text")
+    found = trees.message_chains(rows)
+    chars = F.aggregate("path", F.lit(0), lambda a, m: a + F.length(m["content"]))
+    return found.select("message_id", F.col("depth").cast("long").alias("depth"), chars.cast("long").alias("path_chars"), F.array_join(F.transform("path", lambda m: m["role"]), ">").alias("path"))
+
+
+@query("""WITH r AS (SELECT conv_id AS parent, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 3 = 0 THEN 'Infinity'::DOUBLE ELSE turn::DOUBLE END, turn) AS k FROM conversations WHERE role = 'assistant' AND length(trim(text)) >= 16)
+      SELECT parent AS parent_id, turn AS message_id, md5(text) AS reply FROM r WHERE k = 1""")
+def first_good_reply(spark, sf_dir):
+    """The reply of each parent that comes first by rank, where every third rank is missing."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    rows = rows.select(F.col("conv_id").alias("parent_id"), F.col("turn").alias("message_id"), F.when(F.col("turn") % 3 != 0, F.col("turn").cast("double")).alias("rank"), "text")
+    return trees.first_reply(rows).select("parent_id", "message_id", F.md5("text").alias("reply"))
+
+
+# --- answers, pairs, coverage ----------------------------------------------------------------------------------
+
+_ANSWER_SQL = """CASE doc_id % 6 WHEN 0 THEN 'so \\boxed{' || chr((65 + doc_id % 4)::INT) || '}' WHEN 1 THEN 'first \\boxed{A}; final \\boxed{ ' || chr((97 + doc_id % 4)::INT) || ' }'
+      WHEN 2 THEN 'The final answer is ' || chr((65 + doc_id % 4)::INT) || '.' WHEN 3 THEN '<think>hm</think> 12 #### 1,' || (100 + doc_id % 900) || '.5 km' WHEN 4 THEN '<think>option is B' ELSE 'no idea' END"""
+
+
+def _answers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    letter = lambda base: F.char(F.lit(base) + F.col("doc_id") % 4)
+    k = F.col("doc_id") % 6
+    said = (
+        F.when(k == 0, F.concat(F.lit("so \\boxed{"), letter(65), F.lit("}")))
+        .when(k == 1, F.concat(F.lit("first \\boxed{A}; final \\boxed{ "), letter(97), F.lit(" }")))
+        .when(k == 2, F.concat(F.lit("The final answer is "), letter(65), F.lit(".")))
+        .when(k == 3, F.concat(F.lit("<think>hm</think> 12 #### 1,"), (100 + F.col("doc_id") % 900).cast("string"), F.lit(".5 km")))
+        .when(k == 4, "<think>option is B")
+        .otherwise("no idea")
+    )
+    return docs.select("doc_id", "source", said.alias("answer"), F.char(F.lit(65) + F.floor(F.col("doc_id") / 3) % 4).alias("gold"))
+
+
+@query(rf"""WITH a AS (SELECT doc_id, {_ANSWER_SQL} AS answer FROM documents), b AS (SELECT *, regexp_extract_all(answer, '(?i)\\boxed\s*\{{\s*([A-D])\s*\}}', 1) AS bx, regexp_extract_all(answer, '(?i)(?:answer|option|choice)\s*(?:is|:)?\s*[\(\[]?\s*([A-D])\b', 1) AS sd FROM a)
+      SELECT doc_id, upper(bx[-1]) AS boxed, coalesce(upper(bx[-1]), upper(sd[-1])) AS choice, CASE WHEN contains(answer, '####') THEN replace(regexp_extract(split_part(answer, '####', -1), '-?[0-9][0-9,]*(?:\.[0-9]+)?', 0), ',', '') END AS number,
+      contains(answer, '</think>') AS think_closed, CASE WHEN starts_with(answer, '<think>') AND contains(answer, '</think>') THEN substr(answer, 1, instr(answer, '</think>') + 7) ELSE '' END AS thinking FROM b""")
+def answer_extraction(spark, sf_dir):
+    """Choices, numbers and thinking of answers."""
+    a = F.col("answer")
+    return _answers(spark, sf_dir).select(
+        "doc_id", text.boxed_choice(a).alias("boxed"), text.choice(a).alias("choice"), text.numeric_answer(a).alias("number"), a.contains(text.END_THINK).alias("think_closed"), text.think_prefix(a).alias("thinking")
+    )
+
+
+@query(rf"""WITH a AS (SELECT doc_id, source, {_ANSWER_SQL} AS answer, chr((65 + (doc_id // 3) % 4)::INT) AS gold FROM documents),
+      b AS (SELECT source, gold, coalesce(upper(regexp_extract_all(answer, '(?i)\\boxed\s*\{{\s*([A-D])\s*\}}', 1)[-1]), upper(regexp_extract_all(answer, '(?i)(?:answer|option|choice)\s*(?:is|:)?\s*[\(\[]?\s*([A-D])\b', 1)[-1])) AS c FROM a)
+      SELECT source, count(*)::BIGINT AS n, count(c)::BIGINT AS parsed, count(*) FILTER (c = gold)::BIGINT AS correct, round(count(*) FILTER (c = gold) / count(*)::DOUBLE, 9) AS accuracy, round(count(c) / count(*)::DOUBLE, 9) AS parse_rate FROM b GROUP BY source""")
+def answer_accuracy(spark, sf_dir):
+    """Accuracy and parse rate by source; an answer without a choice is wrong."""
+    a = _answers(spark, sf_dir).withColumn("c", text.choice(F.col("answer")))
+    out = a.groupBy("source").agg(F.count("*").alias("n"), F.count("c").alias("parsed"), F.count_if(text.choice_correct(F.col("c"), F.col("gold"))).alias("correct"))
+    return out.select("*", F.round(F.col("correct") / F.col("n"), 9).alias("accuracy"), F.round(F.col("parsed") / F.col("n"), 9).alias("parse_rate"))
+
+
+@query("""WITH p AS (SELECT quality = 1 AS a, toxic = 0 AND n_chars > 500 AS b FROM labels JOIN documents USING (doc_id)), s AS (SELECT count(*)::BIGINT AS n, count(*) FILTER (b AND NOT a)::BIGINT AS improved, count(*) FILTER (a AND NOT b)::BIGINT AS regressed FROM p),
+      t AS (SELECT *, improved + regressed AS d FROM s)
+      SELECT n, improved, regressed, round((improved - regressed) / n::DOUBLE, 9) AS gain, round(CASE WHEN d = 0 OR improved <= regressed THEN 1.0 ELSE (SELECT sum(exp(lgamma(d + 1.0) - lgamma(k + 1.0) - lgamma(d - k + 1.0) - d * ln(2.0))) FROM range(improved, d + 1) r(k)) END, 6)::DOUBLE AS p_value FROM t""")
+def paired_answers_test(spark, sf_dir):
+    """Discordant pairs of two answer sets over the same index, and the exact tail; the last step is one row."""
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    a, b = F.col("quality") == 1, (F.col("toxic") == 0) & (F.col("n_chars") > 500)
+    s = both.agg(F.count("*").alias("n"), F.count_if(b & ~a).alias("improved"), F.count_if(a & ~b).alias("regressed"))
+    return s.select("n", "improved", "regressed", F.round((F.col("improved") - F.col("regressed")) / F.col("n"), 9).alias("gain"), F.round(stats.mcnemar_tail(F.col("improved"), F.col("regressed")), 6).alias("p_value"))
+
+
+def _corpora(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.sha2("source", 256).alias("prompt_sha"), F.col("lang").alias("solution"), F.col("text").alias("response"))
+    other = docs.where("idx % 10 != 9").select(
+        "idx", F.when(F.col("idx") % 50 == 0, F.sha2("solution", 256)).otherwise(F.col("prompt_sha")).alias("prompt_sha"),
+        F.when(F.col("idx") % 4 == 0, F.lit(None)).when(F.col("idx") % 7 == 0, "xx").otherwise(F.col("solution")).alias("solution"),
+        F.when(F.col("idx") % 3 == 0, F.reverse("response")).when(F.col("idx") % 11 == 0, F.lit(None)).otherwise(F.col("response")).alias("response"),
+    )
+    return docs, other
+
+
+@query("""WITH a AS (SELECT doc_id AS idx, sha256(source) AS p, lang AS s, text AS r FROM documents), b AS (SELECT idx, CASE WHEN idx % 50 = 0 THEN sha256(s) ELSE p END AS p2, CASE WHEN idx % 4 = 0 THEN NULL WHEN idx % 7 = 0 THEN 'xx' ELSE s END AS s2,
+      CASE WHEN idx % 3 = 0 THEN array_to_string(list_reverse(string_split(r, '')), '') WHEN idx % 11 = 0 THEN NULL ELSE r END AS r2 FROM a WHERE idx % 10 <> 9)
+      SELECT count(*)::BIGINT AS paired, count(*) FILTER (p <> p2)::BIGINT AS prompt_mismatches, count(*) FILTER (s <> s2)::BIGINT AS solution_mismatches, count(*) FILTER (r IS NOT DISTINCT FROM r2)::BIGINT AS same_responses, count(*) FILTER (r IS DISTINCT FROM r2)::BIGINT AS different_responses,
+      sha256(array_to_string(list(p ORDER BY idx), chr(0))) AS prompts_sha256 FROM a JOIN b USING (idx)""")
+def paired_corpora(spark, sf_dir):
+    """A corpus against an altered one."""
+    return pairs.paired_report(*_corpora(spark, sf_dir))
+
+
+@query("""WITH i AS (SELECT doc_id AS i FROM labels WHERE doc_id % 5 <> 3 UNION ALL SELECT doc_id FROM labels WHERE doc_id % 17 = 0 UNION ALL SELECT -doc_id - 1 FROM labels WHERE doc_id % 29 = 0), k AS (SELECT i, count(*) AS n FROM i GROUP BY i),
+      x AS (SELECT 'missing' AS kind, r.i FROM range(300) r(i) ANTI JOIN k ON k.i = r.i UNION ALL SELECT 'unexpected', i FROM k WHERE i < 0 OR i >= 300 UNION ALL SELECT 'repeated', i FROM k WHERE n > 1)
+      SELECT kind, count(*)::BIGINT AS n, array_to_string(list(i ORDER BY i)[1:10], ',') AS examples FROM x GROUP BY kind""")
+def index_coverage(spark, sf_dir):
+    """Missing, unexpected and repeated indices against 0 to 299."""
+    ids = table(spark, sf_dir, "labels").select("doc_id")
+    rows = ids.where("doc_id % 5 != 3").unionAll(ids.where("doc_id % 17 = 0")).unionAll(ids.where("doc_id % 29 = 0").select(-F.col("doc_id") - 1))
+    return pairs.coverage(rows, "doc_id", 300)
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY user_id""")
+def last_prediction_wins(spark, sf_dir):
+    """The last row of each repeated index."""
+    out = pairs.last_wins(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type", "value"])
+    return out.select("user_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query("""SELECT doc_id % 8 AS rank, count(*)::BIGINT AS pending, min(doc_id // 8)::BIGINT AS first_place FROM documents ANTI JOIN labels USING (doc_id) GROUP BY 1""")
+def pending_by_rank(spark, sf_dir):
+    """Rows that have no result yet, dealt round robin to eight ranks."""
+    left = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    rank, place = tokens.shard(F.col("doc_id"), 8)
+    return left.groupBy(rank.alias("rank")).agg(F.count("*").alias("pending"), F.min(place).alias("first_place"))
+
+
+@query("""WITH b AS (SELECT DISTINCT sha256(trim(text)) AS k FROM benchmark), d AS (SELECT DISTINCT doc_id, sha256(trim(unnest(string_split(text, chr(10))))) AS k FROM documents)
+      SELECT count(DISTINCT k)::BIGINT AS items, count(DISTINCT doc_id)::BIGINT AS documents FROM d SEMI JOIN b USING (k)""")
+def benchmark_overlap(spark, sf_dir):
+    """Benchmark texts that are a whole line of a document."""
+    b = table(spark, sf_dir, "benchmark").select(F.sha2(F.trim("text"), 256).alias("k")).distinct()
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.sha2(F.trim("line"), 256).alias("k"))
+    return d.join(b, "k", "left_semi").agg(F.countDistinct("k").alias("items"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query("""WITH g AS (SELECT l, s FROM (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS l), (SELECT unnest(['src0', 'src1', 'src2', 'none']) AS s)), m AS (SELECT lang AS l, source AS s, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY 1, 2)
+      SELECT l AS lang, s AS source, mean_chars, mean_chars IS NOT NULL AS present FROM g LEFT JOIN m USING (l, s)""")
+def grid_of_cells(spark, sf_dir):
+    """Every cell of a grid of languages and sources, there or not."""
+    means = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+    return pairs.grid(means, [("lang", ["de", "en", "es", "fr", "it"]), ("source", ["src0", "src1", "src2", "none"])], "mean_chars")
+
+
+@query("""SELECT lang, count(*) FILTER (source = 'src0')::BIGINT AS src0, count(*) FILTER (source = 'src1')::BIGINT AS src1, count(*) FILTER (source = 'src2')::BIGINT AS src2 FROM documents GROUP BY lang""")
+def pivot_report(spark, sf_dir):
+    """Counts by language, a column for each of three sources."""
+    return table(spark, sf_dir, "documents").groupBy("lang").pivot("source", ["src0", "src1", "src2"]).count().fillna(0)
+
+
+# --- scores and tests --------------------------------------------------------------------------------------------
+
+_P = "l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey)"
+_G = "(l_partkey % 2 = 0)"
+
+
+def _probabilities(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax")
+    return lines.withColumns({"p": F.col("l_quantity") / F.sum("l_quantity").over(Window.partitionBy("l_orderkey")), "hit": F.col("l_partkey") % 2 == 0})
+
+
+@query(f"""WITH p AS (SELECT *, {_P} AS p FROM lineitem), c AS (SELECT *, sum(p) OVER (PARTITION BY l_orderkey ORDER BY p DESC, l_linenumber ROWS UNBOUNDED PRECEDING) - p AS before FROM p)
+      SELECT l_orderkey, count(*)::BIGINT AS kept, round(sum(p), 6) AS mass FROM c WHERE before <= 0.7300001 GROUP BY l_orderkey""")
+def nucleus_kept(spark, sf_dir):
+    """Tokens within the nucleus of each position, and their mass."""
+    kept = scoring.nucleus(_probabilities(spark, sf_dir), "l_orderkey", "p", "l_linenumber", 0.7300001)
+    return kept.groupBy("l_orderkey").agg(F.count("*").alias("kept"), F.round(F.sum("p"), 6).alias("mass"))
+
+
+@query(f"""WITH p AS (SELECT *, {_P} AS p, {_G} AS g FROM lineitem), s AS (SELECT *, sum(CASE WHEN g THEN p ELSE 0 END) OVER (PARTITION BY l_orderkey) AS e, p + 0.05 * g::INT AS boosted FROM p)
+      SELECT l_orderkey, round(sum(abs(16 * p * (g::INT - e))) * sum(l_quantity) * sum(l_quantity), 0) AS tilt, arg_max(l_linenumber, (l_quantity, -l_linenumber))::BIGINT AS chosen, arg_max(l_linenumber, (round(boosted, 9), -l_linenumber))::BIGINT AS boosted_choice FROM s GROUP BY l_orderkey""")
+def tilt_and_choice(spark, sf_dir):
+    """Tilt of the scores towards the set, and the token chosen with and without a boost; ties to the first."""
+    t = scoring.tilted(_probabilities(spark, sf_dir), "l_orderkey", "p", "hit", 16.0)
+    n = F.col("l_linenumber")
+    boosted = F.round(F.col("p") + 0.05 * F.col("hit").cast("int"), 9)
+    return t.groupBy("l_orderkey").agg(
+        F.round(F.sum(F.abs("tilt")) * F.sum("l_quantity") * F.sum("l_quantity"), 0).alias("tilt"), scoring.argmax_first(F.col("l_quantity"), n, n).cast("long").alias("chosen"), scoring.argmax_first(boosted, n, n).cast("long").alias("boosted_choice")
+    )
+
+
+@query(f"""WITH p AS (SELECT *, {_P} AS p, {_G} AS g, l_partkey % 3 <> 0 AS shared FROM lineitem), o AS (SELECT l_orderkey, sum(CASE WHEN shared AND g THEN p ELSE 0 END) AS a, sum(CASE WHEN shared THEN p ELSE 0 END) AS b, ln(sum(exp(l_tax * 10))) - sum(exp(l_tax * 10) * l_tax * 10) / sum(exp(l_tax * 10)) AS entropy FROM p GROUP BY l_orderkey)
+      SELECT count(*)::BIGINT AS positions, count(*) FILTER (b = 0)::BIGINT AS undefined, round(avg(CASE WHEN b > 0 THEN a / b END), 9) AS mean_open, round(avg(entropy), 9) AS mean_entropy, round({_hoeffding('avg(CASE WHEN b > 0 THEN a / b END)', 'count(*) FILTER (b > 0)')}, 9) AS p_value FROM o""")
+def open_mode(spark, sf_dir):
+    """Mean share of the set in the shared mass over positions, mean entropy, and the tail."""
+    logit = F.col("l_tax") * 10
+    each = _probabilities(spark, sf_dir).groupBy("l_orderkey").agg(scoring.open_value(F.col("p"), F.col("hit"), F.col("l_partkey") % 3 != 0).alias("v"), scoring.entropy(logit).alias("entropy"))
+    v = F.when(~F.isnan("v"), F.col("v"))
+    s = each.agg(F.count("*").alias("positions"), F.count_if(F.isnan("v")).alias("undefined"), F.avg(v).alias("m"), F.avg("entropy").alias("e"), F.count(v).alias("n"))
+    return s.select("positions", "undefined", F.round("m", 9).alias("mean_open"), F.round("e", 9).alias("mean_entropy"), F.round(stats.hoeffding(F.col("m"), F.col("n"), 0.5), 9).alias("p_value"))
+
+
+_WEIGHTS = """
+      b AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS context, l_suppkey % 20 AS prediction, l_discount AS s, l_tax AS e, min(l_tax) OVER (PARTITION BY l_orderkey) AS lo, max(l_tax) OVER (PARTITION BY l_orderkey) AS hi FROM lineitem),
+      n AS (SELECT *, CASE WHEN hi - lo < 1e-8 THEN 1.0 ELSE (e - lo) / (hi - lo) END AS norm FROM b),
+      w AS (SELECT *, [1.0::DOUBLE, sqrt(norm)::DOUBLE, (0.1 + 0.9 * norm)::DOUBLE] AS ws FROM n),
+      x AS (SELECT * EXCLUDE ws, unnest(['plain', 'sqrt', 'linear']) AS weighting, unnest(ws) AS weight FROM w),
+      r AS (SELECT 'all' AS regime, weighting, weight, s FROM x UNION ALL
+        SELECT 'context', weighting, weight, s FROM (SELECT *, row_number() OVER (PARTITION BY weighting, context ORDER BY l_orderkey, l_linenumber, s, e) AS k FROM x) WHERE k = 1 UNION ALL
+        SELECT 'context_prediction', weighting, weight, s FROM (SELECT *, row_number() OVER (PARTITION BY weighting, context, prediction ORDER BY l_orderkey, l_linenumber, s, e) AS k FROM x) WHERE k = 1)"""
+
+
+def _pooled(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 50).alias("context"), (F.col("l_suppkey") % 20).alias("prediction"), F.col("l_discount").alias("s"), F.col("l_tax").alias("e"))
+    w = scoring.trace_weights(lines, "l_orderkey", "e")
+    order, values = ["l_orderkey", "l_linenumber", "s", "e"], ["s", "sqrt_weight", "linear_weight"]
+    regimes = {"all": w.select(*values), "context": tokens.first_occurrence(w, ["context"], order, values).select(*values), "context_prediction": tokens.first_occurrence(w, ["context", "prediction"], order, values).select(*values)}
+    out = None
+    for name, rows in regimes.items():
+        one = rows.select(F.lit(name).alias("regime"), "s", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("plain", "sqrt", "linear"))), F.array(F.lit(1.0), "sqrt_weight", "linear_weight"))).alias("weighting", "weight"))
+        out = one if out is None else out.unionAll(one)
+    sums = out.groupBy("regime", "weighting").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("s")).alias("ws"), (0.82 * F.sum(F.col("weight") * F.col("weight"))).alias("v"))
+    return sums
+
+
+@query(f"""WITH {_WEIGHTS} SELECT regime, weighting, count(*)::BIGINT AS n, round(sum(weight), 4) AS w, round(sum(weight * s), 4) AS ws, round(0.82 * sum(weight * weight), 4) AS v FROM r GROUP BY 1, 2""")
+def pooled_score_sums(spark, sf_dir):
+    """Weighted sums by three weightings over all positions and over first occurrences."""
+    return _pooled(spark, sf_dir).select("regime", "weighting", "n", F.round("w", 4).alias("w"), F.round("ws", 4).alias("ws"), F.round("v", 4).alias("v"))
+
+
+@query()
+def pooled_gamma_test(spark, sf_dir):
+    """Weighted gamma tail of the pooled scores; nine rows, so the tail's function costs nothing."""
+    s = _pooled(spark, sf_dir)
+    p = F.when((F.col("w") <= 0) | (F.col("v") <= 0), F.lit(1.0)).otherwise(stats.gamma_q(F.col("w") * F.col("w") / F.col("v"), 20 * F.col("ws") * F.col("w") / F.col("v")))
+    return s.select("regime", "weighting", "n", p.alias("p_value")).withColumns({"strength": stats.minus_log10(F.col("p_value")), "detected": F.col("p_value") < 0.01})
+
+
+@query("""SELECT l_returnflag, count(*)::BIGINT AS n, round(avg(l_discount), 9) AS mean, round(1.96 * stddev_samp(l_discount) / sqrt(count(*)), 9) AS margin FROM lineitem GROUP BY 1""")
+def mean_with_margin(spark, sf_dir):
+    """Mean and 1.96 standard errors."""
+    mean, margin = stats.mean_and_margin(F.col("l_discount"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(mean, 9).alias("mean"), F.round(margin, 9).alias("margin"))
+
+
+@query("""SELECT l_orderkey, round(sum(0.1 * -ln(1 - least(l_discount * 9, 1 - 1e-12)) + 0.9 * -ln(1 - least(l_tax * 12, 1 - 1e-12))), 6) AS fused, round(sum(-(ln(l_tax + 0.5) - ln(l_discount + 0.5)) * (l_linenumber > 1)::INT), 6) AS reward FROM lineitem GROUP BY l_orderkey""")
+def fused_scores(spark, sf_dir):
+    """Fused scores of two keys and the difference of log probabilities under a mask, summed a trace."""
+    lines = table(spark, sf_dir, "lineitem")
+    fused = scoring.fused_score(F.col("l_discount") * 9, F.col("l_tax") * 12, 0.1)
+    reward = -(F.ln(F.col("l_tax") + 0.5) - F.ln(F.col("l_discount") + 0.5)) * (F.col("l_linenumber") > 1).cast("int")
+    return lines.groupBy("l_orderkey").agg(F.round(F.sum(fused), 6).alias("fused"), F.round(F.sum(reward), 6).alias("reward"))
+
+
+@query(f"""WITH {_TOKENS}, seqs AS (SELECT id, list(token ORDER BY pos) AS t FROM toks GROUP BY id), e AS (SELECT id, least(len(t), 5) AS k, t || CASE WHEN t[-1] = 2 OR len(t) <= 5 AND false THEN [] ELSE [2::BIGINT] END AS a FROM seqs), c AS (SELECT id, k, a[1:64] AS ids FROM e)
+      SELECT id, len(ids)::BIGINT AS length, list_sum(ids)::BIGINT AS ids_sum, list_sum([CASE WHEN i <= k THEN -100 ELSE ids[i] END for i in range(1, len(ids) + 1)])::BIGINT AS labels_sum FROM c""")
+def masked_examples(spark, sf_dir):
+    """Training rows of at most 64 ids, the first five a prompt whose labels are hidden."""
+    a = tokens.token_arrays(table(spark, sf_dir, "documents"), "doc_id", "text")
+    k = F.least(F.size("tokens"), F.lit(5))
+    x = masking.masked_example(F.slice("tokens", F.lit(1), k), F.slice("tokens", k + 1, F.size("tokens")), 2, 64)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)
+    out = a.select("id", x.alias("x"))
+    return out.select("id", F.col("x.length").cast("long").alias("length"), total("x.input_ids").alias("ids_sum"), total("x.labels").alias("labels_sum"))
+
+
+@query()
+def padded_batches(spark, sf_dir):
+    """Batches of bounded size and padding, in order, a source."""
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    out = masking.token_batches(rows, "source", "doc_id", "n_chars")
+    return out.groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+@query("""WITH v AS (SELECT p_partkey AS id, p_name || p_brand AS token FROM part), t AS (SELECT min(id) AS target, token FROM v WHERE id % 3 <> 0 AND id < 1500 GROUP BY token)
+      SELECT count(*)::BIGINT AS sources, count(target)::BIGINT AS mapped, sum(coalesce(target, -1))::BIGINT AS target_sum, bool_and(coalesce(target = id, false)) AS identical FROM v LEFT JOIN t USING (token)""")
+def vocabulary_map(spark, sf_dir):
+    """Each source token's least target id of the same string, or none."""
+    v = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", "p_brand").alias("token"))
+    t = v.where("id % 3 != 0 and id < 1500").groupBy("token").agg(F.min("id").alias("target"))
+    m = v.join(t, "token", "left")
+    return m.agg(F.count("*").alias("sources"), F.count("target").alias("mapped"), F.sum(F.coalesce("target", F.lit(-1))).alias("target_sum"), F.bool_and(F.coalesce(F.col("target") == F.col("id"), F.lit(False))).alias("identical"))
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents), s AS (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM w), e AS (SELECT doc_id, i, length(ws[i + 1]) AS len, sum(length(ws[i + 1]) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS e FROM s),
+      student AS (SELECT doc_id, e, max(i) AS si FROM e WHERE len > 0 GROUP BY doc_id, e), teacher AS (SELECT doc_id, i AS ti, e FROM e WHERE i % 2 = 1 AND e > 20)
+      SELECT doc_id, count(*)::BIGINT AS aligned, sum(ti * 31 + si)::BIGINT AS checksum FROM teacher JOIN student USING (doc_id, e) GROUP BY doc_id""")
+def offset_alignment(spark, sf_dir):
+    """Tokens of two tokenizers that end at the same character; of several students the last, none of no width."""
+    docs = table(spark, sf_dir, "documents")
+    each = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    end = F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    e = each.select("doc_id", "i", F.length("w").alias("len"), end.alias("e"))
+    student = e.where("len > 0").groupBy("doc_id", "e").agg(F.max("i").alias("si"))
+    teacher = e.where("i % 2 = 1 and e > 20").select("doc_id", F.col("i").alias("ti"), "e")
+    return teacher.join(student, ["doc_id", "e"]).groupBy("doc_id").agg(F.count("*").alias("aligned"), F.sum(F.col("ti") * 31 + F.col("si")).alias("checksum"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, source || CASE doc_id % 3 WHEN 0 THEN '_control_lr1e-4_e' WHEN 1 THEN '_ads_sup_lr5e-5_e' ELSE '-bad-' END || (doc_id % 4) AS d FROM documents), r AS (SELECT doc_id, d, regexp_extract(d, '^([^_]+)_(.+)_lr([^_]+)_e([0-9]+)$', ['a', 'b', 'c', 'e']) AS x FROM p)
+      SELECT doc_id, nullif(x.a, '') AS student, nullif(x.b, '') AS method, nullif(x.c, '') AS lr, nullif(x.e, '') AS epochs, regexp_replace(lower(d), '[^\p{L}\p{N}.\-]', '', 'g') AS short FROM r""")
+def parsed_names(spark, sf_dir):
+    """Parts of metrics directory names, and short model names."""
+    end = F.when(F.col("doc_id") % 3 == 0, "_control_lr1e-4_e").when(F.col("doc_id") % 3 == 1, "_ads_sup_lr5e-5_e").otherwise("-bad-")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", end, (F.col("doc_id") % 4).cast("string")).alias("d"))
+    return d.select("doc_id", text.metrics_dir_parts(F.col("d")).alias("x"), text.model_short_name(F.col("d")).alias("short")).select("doc_id", "x.*", "short")
+
+
+@query(f"""WITH m AS (SELECT source, lang, count(*)::BIGINT AS n, avg((n_chars % 7 < 4)::INT) AS mean FROM documents GROUP BY 1, 2), r AS (SELECT *, {_hoeffding('mean', 'n')} AS p FROM m),
+      c AS (SELECT *, p * CASE WHEN lang = 'fr' THEN 1.001 ELSE 1 END AS recorded FROM r)
+      SELECT source, count(*)::BIGINT AS n, bool_and(abs(recorded - p) <= greatest(1e-12 * greatest(abs(recorded), abs(p)), 1e-12)) AS all_agree, count(*) FILTER (p < 0.05)::BIGINT AS detected FROM c GROUP BY source""")
+def metric_reverification(spark, sf_dir):
+    """Recorded tails against recomputed ones, and how many detect, a source."""
+    m = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.avg((F.col("n_chars") % 7 < 4).cast("int")).alias("mean"))
+    m = m.withColumn("p", stats.hoeffding(F.col("mean"), F.col("n"), 0.5)).withColumn("recorded", F.col("p") * F.when(F.col("lang") == "fr", 1.001).otherwise(1.0))
+    near = F.abs(F.col("recorded") - F.col("p")) <= F.greatest(1e-12 * F.greatest(F.abs("recorded"), F.abs("p")), F.lit(1e-12))
+    return m.groupBy("source").agg(F.count("*").alias("n"), F.bool_and(near).alias("all_agree"), F.count_if(F.col("p") < 0.05).alias("detected"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), b AS (SELECT *, min(CASE WHEN length(line) % 9 = 0 THEN i END) OVER (PARTITION BY doc_id) AS first_bad FROM l)
+      SELECT doc_id, count(*) FILTER (trim(line) <> '')::BIGINT AS non_blank, count(*) FILTER (first_bad IS NULL OR i < first_bad)::BIGINT AS prefix FROM b GROUP BY doc_id""")
+def torn_tail_prefix(spark, sf_dir):
+    """Lines before a text's first bad one, where a length that nine divides stands for a torn line."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    bad = F.min(F.when(F.length("line") % 9 == 0, F.col("i"))).over(Window.partitionBy("doc_id"))
+    lines = lines.withColumn("first_bad", bad)
+    return lines.groupBy("doc_id").agg(F.count_if(F.trim("line") != "").alias("non_blank"), F.count_if(F.col("first_bad").isNull() | (F.col("i") < F.col("first_bad"))).alias("prefix"))
+
+
+@query("""WITH m AS (SELECT source, CASE WHEN doc_id % 2 = 0 THEN 'control_unsupervised' ELSE 'ads' END AS method, avg(n_chars) AS metric FROM documents GROUP BY 1, 2), t AS (SELECT source, lang AS kind, avg(doc_id) AS score FROM documents WHERE lang IN ('en', 'de') GROUP BY 1, 2)
+      SELECT source, method, kind, round(metric, 6) AS metric, round(score, 6) AS score FROM m JOIN t USING (source) WHERE kind = CASE WHEN method LIKE '%_unsupervised' THEN 'de' ELSE 'en' END""")
+def metrics_with_teacher(spark, sf_dir):
+    """Metrics joined with the teacher's score of the kind that their method asks for."""
+    docs = table(spark, sf_dir, "documents")
+    m = docs.groupBy("source", F.when(F.col("doc_id") % 2 == 0, "control_unsupervised").otherwise("ads").alias("method")).agg(F.round(F.avg("n_chars"), 6).alias("metric"))
+    m = m.withColumn("kind", F.when(F.col("method").endswith("_unsupervised"), "de").otherwise("en"))
+    t = docs.where(F.col("lang").isin("en", "de")).groupBy("source", F.col("lang").alias("kind")).agg(F.round(F.avg("doc_id"), 6).alias("score"))
+    return m.join(t, ["source", "kind"]).select("source", "method", "kind", "metric", "score")
