@@ -98,6 +98,16 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE))
 
 
+def rows_where(df: DataFrame, flag: str) -> DataFrame:
+    """Rows whose boolean column ``flag`` is true, without pushing the condition down.
+
+    Pushed down, the filter would repeat all that ``flag`` is computed from, one step inside the other. A
+    random column, always at least zero, keeps it where it is.
+    """
+    stop = free_name(df, "stop")
+    return df.withColumn(stop, F.rand(0)).where(F.col(flag) & (F.col(stop) >= 0)).drop(stop)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have."""
     taken, name = {c.lower() for c in df.columns}, base
