@@ -552,3 +552,54 @@ def metrics_with_teacher(spark, sf_dir):
     m = m.withColumn("kind", F.when(F.col("method").endswith("_unsupervised"), "de").otherwise("en"))
     t = docs.where(F.col("lang").isin("en", "de")).groupBy("source", F.col("lang").alias("kind")).agg(F.round(F.avg("doc_id"), 6).alias("score"))
     return m.join(t, ["source", "kind"]).select("source", "method", "kind", "metric", "score")
+
+
+# --- validation and rows for training ------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS rs, list(text ORDER BY turn, role, text) AS ts FROM conversations WHERE turn < 2 + conv_id % 2 GROUP BY conv_id),
+      r AS (SELECT conv_id, CASE WHEN len(rs) <> 2 OR rs[1] <> 'user' OR rs[2] <> 'assistant' OR trim(ts[1]) = '' OR trim(ts[2]) = '' THEN 'invalid_messages' WHEN contains(ts[2], 'ou') AND NOT contains(ts[2], 'en') THEN 'incomplete_thinking_trace' WHEN length(ts[2]) % 4 = 0 THEN 'missing_boxed_choice' ELSE 'valid' END AS reason FROM m)
+      SELECT reason, count(*)::BIGINT AS n, min(conv_id) AS first FROM r GROUP BY reason""")
+def message_validation(spark, sf_dir):
+    """The first rule that each conversation breaks, counted."""
+    m = table(spark, sf_dir, "conversations").where("turn < 2 + conv_id % 2").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    said = lambda i: F.get("t", F.lit(i))["text"]
+    role = lambda i: F.get("t", F.lit(i))["role"]
+    invalid = (F.size("t") != 2) | (role(0) != "user") | (role(1) != "assistant") | (F.trim(said(0)) == "") | (F.trim(said(1)) == "")
+    reason = (
+        F.when(invalid, "invalid_messages")
+        .when(said(1).contains("ou") & ~said(1).contains("en"), "incomplete_thinking_trace")
+        .when(F.length(said(1)) % 4 == 0, "missing_boxed_choice")
+        .otherwise("valid")
+    )
+    return m.select("conv_id", reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"), F.min("conv_id").alias("first"))
+
+
+@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 37 = 0 THEN '' ELSE text END AS response, CASE WHEN doc_id % 41 = 0 THEN NULL ELSE lang END AS solution FROM documents)
+      SELECT count(*)::BIGINT AS rows, count(*) FILTER (response = '')::BIGINT AS empty_responses, array_to_string((SELECT list(doc_id ORDER BY doc_id)[1:10] FROM r WHERE response = ''), ',') AS first_empty, count(*) FILTER (coalesce(solution, '') = '')::BIGINT AS missing_solutions FROM r""")
+def response_guards(spark, sf_dir):
+    """Empty responses with the first ten places, and missing solutions."""
+    r = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 37 == 0, "").otherwise(F.col("text")).alias("response"), F.when(F.col("doc_id") % 41 != 0, F.col("lang")).alias("solution"))
+    counts = r.agg(F.count("*").alias("rows"), F.count_if(F.col("response") == "").alias("empty_responses"), F.count_if(F.coalesce("solution", F.lit("")) == "").alias("missing_solutions"))
+    first = r.where("response = ''").orderBy("doc_id").limit(10).agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("first_empty"))
+    return counts.join(F.broadcast(first)).select("rows", "empty_responses", "first_empty", "missing_solutions")  # one row each
+
+
+@query("""SELECT user_id, CASE WHEN count(DISTINCT CASE WHEN event_id % 40 < 2 THEN event_type END) = 1 THEN max(CASE WHEN event_id % 40 < 2 THEN event_type END) END AS tag, count(DISTINCT event_type)::BIGINT AS kinds FROM events GROUP BY user_id""")
+def inferred_tags(spark, sf_dir):
+    """The tag of a group where it is the only one, else null."""
+    seen = F.collect_set(F.when(F.col("event_id") % 40 < 2, F.col("event_type")))
+    out = table(spark, sf_dir, "events").groupBy("user_id").agg(seen.alias("seen"), F.countDistinct("event_type").alias("kinds"))
+    return out.select("user_id", F.when(F.size("seen") == 1, F.get("seen", F.lit(0))).alias("tag"), "kinds")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations),
+      r AS (SELECT conv_id, turn, text, answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM t WHERE role = 'user' AND next_role = 'assistant')
+      SELECT conv_id, i::BIGINT AS i, sha256(text) AS prompt_sha256, chr((65 + length(answer) % 4)::INT) AS gold, CASE WHEN ('0x' || substr(sha256('42' || chr(0) || text), 1, 16))::UBIGINT % 5 = 0 THEN 'eval' ELSE 'train' END AS split FROM r""")
+def training_rows(spark, sf_dir):
+    """Prompt rows with gold choice, split and running index in a conversation."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(order), "answer": F.lead("text").over(order)})
+    r = t.where("role = 'user' and next_role = 'assistant'").withColumn("i", (F.row_number().over(order) - 1).cast("long"))
+    evaluation = text.hash_bucket(text.stable_hash(F.lit("42"), F.col("text")), 5) == 0
+    return r.select("conv_id", "i", F.sha2("text", 256).alias("prompt_sha256"), F.char(F.lit(65) + F.length("answer") % 4).alias("gold"), F.when(evaluation, "eval").otherwise("train").alias("split"))
