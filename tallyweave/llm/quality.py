@@ -4,9 +4,9 @@ All of it is Spark SQL functions. A first pass counts, over all documents, each
 and words; the references are these distributions (word references: the ``TOP`` most frequent short words of
 letters of a language and one cell for all other words). A second pass compares every document with every reference by
 Jensen-Shannon distance (base 2, square root of the divergence, 0 to 1) and takes the least, so a
-wrong or missing language label does no harm. The word distance is given as a share of the distance of a text
-that has none of the reference's words. Documents below a least number of words are not judged by a distance:
-their histograms say too little.
+wrong label does no harm. The word distance is given as a share of the distance of a text that has none of the
+reference's words. Documents below a least number of words are not judged by a distance: their histograms say
+too little. Nor are documents whose own language has no reference: other languages' words say nothing of them.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql.window import Window
 
 from tallyweave.llm.common import WHITE, rows_where, words, written
 
-#: Words of a reference, the longest word that can be one of them, and the most languages (by documents).
-TOP, SHORT, LANGUAGES = 16, 8, 32
-#: A language needs so many documents to give a reference.
+#: Words of a reference, and the longest word that can be one of them.
+TOP, SHORT = 24, 8
+#: A language needs so many documents to give a reference; documents of one with fewer are not judged by distance.
 LEAST_DOCS = 20
 #: Character classes: Java patterns of what is counted, taken out one after another; a last cell holds what is left.
 CLASSES = {
@@ -47,18 +47,22 @@ def _with_classes(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("q_classes", F.array(*counts, F.length(left))).drop(*(f"q_without_{name}" for name in CLASSES))
 
 
+def _lang(lang_col: str) -> Column:
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+
+
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[dict]:
-    """Per language: its class shares and its most frequent words with their shares; a bounded result.
+    """Per language: its class shares and its most frequent words with their shares.
 
-    Rows with a null language count as one language of their own. At most ``LANGUAGES`` languages of
-    ``LEAST_DOCS`` documents or more, ``TOP`` words each, come to the driver, whatever the table's size.
+    Rows with a null language count as one language of their own. Every language of ``LEAST_DOCS`` documents
+    or more gives a reference; ``TOP`` words of each come to the driver.
     """
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+    lang = _lang(lang_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(lang.alias("lang"), text.alias("text"))
     counts = _with_classes(base, "text")
     sums = counts.groupBy("lang").agg(F.count("*").alias("docs"), *(F.sum(F.get("q_classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)))
-    kept = sums.where(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()
+    kept = sums.where(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "lang").collect()
     if not kept:
         return []
     each = base.where(F.col("lang").isin([r["lang"] for r in kept])).select("lang", F.explode(words(F.col("text"))).alias("word"))
@@ -104,7 +108,7 @@ def _distances(df: DataFrame, refs: list[dict]) -> DataFrame:
     if not refs:
         return df.withColumns({"d_classes": F.lit(None).cast("double"), "d_words": F.lit(None).cast("double")})
     every = sorted({w for r in refs for w in r["words"]})
-    code = {w: chr(0x4E00 + i) for i, w in enumerate(every)}
+    code = {w: chr(0x4E00 + i if i < 0x8A00 else 0x7600 + i) for i, w in enumerate(every)}  # no surrogates
     codes = F.create_map(*(F.lit(x) for pair in code.items() for x in pair))
     df = df.withColumn("q_common", F.filter("q_words", lambda w: w.isin(every)))
     df = df.withColumn("q_coded", F.array_join(F.transform("q_common", lambda w: codes[w]), ""))
@@ -114,11 +118,11 @@ def _distances(df: DataFrame, refs: list[dict]) -> DataFrame:
     df = df.withColumn("q_share", F.transform("q_classes", lambda x: x / n_chars))
     n_words = F.greatest(F.col("n_words"), F.lit(1))
     place = {w: i for i, w in enumerate(every)}
+    found = lambda r: F.transform(F.array(*(F.lit(place[w]) for w in r["words"])), lambda i: F.get("q_hits", i) / n_words)
+    df = df.withColumns({f"q_found_{k}": found(r) for k, r in enumerate(refs)})
     by_class, by_word = [], []
     for k, r in enumerate(refs):
         by_class.append(js_distance(F.col("q_share"), r["classes"]))
-        found = F.transform(F.array(*(F.lit(place[w]) for w in r["words"])), lambda i: F.get("q_hits", i) / n_words)
-        df = df.withColumn(f"q_found_{k}", found)
         whole = [*r["shares"], max(0.0, 1 - sum(r["shares"]))]
         # the distance from a text of other words only: all of the cells but the last add their half
         rest = whole[-1]
@@ -163,21 +167,23 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, d_classes, d_words
     (double) and kept; a column of ``docs`` of such a name is replaced (columns q_* are in use meanwhile and
     not allowed). Rows stay one for one. Null, empty and white-space texts have no words, fail and are not
-    kept. Below the least number of words a distance is given but does not count. Without any reference
-    (an empty table, or too few documents of every language) they are null and do not count either. Equal
+    kept. Below the least number of words, and where ``refs`` have none of the document's language, a distance
+    is given but does not count. Without any reference (an empty table, or too few documents of every language)
+    they are null and do not count either. Equal
     rows get equal verdicts. Windows of five words are compared by a 64-bit hash within one text.
     """
     clash = [c for c in docs.columns if c.lower().startswith("q_")]
     if clash:
         raise ValueError(f"columns {clash} are in use here")
     refs = references(docs, text_col, lang_col) if refs is None else refs
-    df = _measured(docs.withColumn("q_text", F.coalesce(F.col(text_col), F.lit(""))))
+    known = _lang(lang_col).isin([r["lang"] for r in refs])
+    df = _measured(docs.withColumns({"q_text": F.coalesce(F.col(text_col), F.lit("")), "q_known": known}))
     df = _distances(df, refs)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = lambda d, most, least: F.coalesce((F.col("n_words") >= least) & (F.col(d) > most), F.lit(False))
     odd = far("d_classes", MOST_CLASSES, LEAST_WORDS_CLASSES) | far("d_words", MOST_WORDS, LEAST_WORDS_WORDS)
     df = df.withColumn("base_failed", failed)
-    df = df.withColumn("kept", ~F.col("base_failed") & ~odd)
+    df = df.withColumn("kept", ~F.col("base_failed") & ~(F.col("q_known") & odd))
     return df.drop(*(c for c in df.columns if c.startswith("q_")))
 
 
