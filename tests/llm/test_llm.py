@@ -228,6 +228,21 @@ def test_long_lines_compare_by_words(spark):
     assert {r["doc_id"]: r["n_removed"] for r in lines.deduplicated(rows).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def _linked_lines(spark, rows, count=None):
+    """Links of distinct lines given as (node, fp, norm)."""
+    made = spark.createDataFrame([(str(n).encode(), n, fp, len(x), len(x.split(" ")), x) for n, fp, x in rows], "key binary, node long, fp long, chars int, n_words int, norm string")
+    found = made.select("key", "norm")
+    frame = made.drop("norm")
+    if count:
+        frame.count = lambda: count
+    return {tuple(sorted((int(bytes(r["a"])), int(bytes(r["b"]))))) for r in lines.links(frame, found).collect()}
+
+
+def test_line_candidates_do_not_depend_on_the_size(spark):
+    rows = [(1, 0, "one two three four five"), (2, 0b11, "one two three four fixe")]
+    assert lines.block_masks(3) and _linked_lines(spark, rows) == _linked_lines(spark, rows, 1 << 24) == {(1, 2)}
+
+
 # --- 3 SimHash -----------------------------------------------------------------------------------------------------
 
 
