@@ -240,7 +240,13 @@ def _linked_lines(spark, rows, count=None):
 
 def test_line_candidates_do_not_depend_on_the_size(spark):
     rows = [(1, 0, "one two three four five"), (2, 0b11, "one two three four fixe")]
-    assert lines.block_masks(3) and _linked_lines(spark, rows) == _linked_lines(spark, rows, 1 << 24) == {(1, 2)}
+    assert _linked_lines(spark, rows, 1 << 24) == {(1, 2)}
+
+
+def test_line_between_two_pivots_links_both(spark):
+    rows = [(1, 0, "bbba aaaa aaaa aaaa"), (2, 0, "aaaa aaaa aaaa aaaa"), (3, 0, "aaaa aaaa aaaa accc")]
+    links = _linked_lines(spark, rows)
+    assert links == {(1, 2), (2, 3)}
 
 
 # --- 3 SimHash -----------------------------------------------------------------------------------------------------
