@@ -15,7 +15,7 @@ def op1_best_fit_packing(spark, sf_dir):
 
 def op2_line_dedup(spark, sf_dir):
     """All documents without their repeated lines."""
-    return lines.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return lines.deduplicated(table(spark, sf_dir, "documents"), least_words=1).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op3_simhash_near_dedup(spark, sf_dir):

@@ -228,6 +228,15 @@ def test_long_lines_compare_by_words(spark):
     assert {r["doc_id"]: r["n_removed"] for r in lines.deduplicated(rows).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def test_short_lines_and_spread_edits(spark):
+    rows = [(i, f"Read more\n{x}\n今日は天気がいいです\nword") for i, x in enumerate(["first document here today", "quite another text stands there", "nothing like the others at all"])]
+    left = {r["doc_id"]: r["text"] for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {0: rows[0][1], 1: "quite another text stands there", 2: "nothing like the others at all"}
+    a = "abcdefgh " * 20
+    pair = spark.createDataFrame([(a, a.replace("abcdefgh abcdefgh", "abcdefgh abcdefgx"))], "a string, b string")
+    assert pair.select(lines.edit_similar(F.col("a"), F.col("b"))).first()[0]
+
+
 def _linked_lines(spark, rows, count=None):
     """Links of distinct lines given as (node, fp, norm)."""
     made = spark.createDataFrame([(str(n).encode(), n, fp, len(x), len(x.split(" ")), x) for n, fp, x in rows], "key binary, node long, fp long, chars int, n_words int, norm string")
