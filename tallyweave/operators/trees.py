@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def message_chains(messages: DataFrame, most_depth: int = 64) -> DataFrame:
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed into the shared folder, its lineage cut."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyweave-"))
+    return df.checkpoint()
+
+
+def message_chains(messages: DataFrame) -> DataFrame:
     """(message_id, depth, path): messages (message_id, parent_id, role, text) with the chain from their root.
 
-    One join a level, and no further than the deepest message; ``path`` is an array of (role, content). A message
-    whose parent is missing begins no chain.
+    One join a level, until a level is empty; ``path`` is an array of (role, content). A message whose parent is
+    missing begins no chain. More levels than messages are a cycle (an id that repeats below itself) and raise.
     """
     one = F.array(F.struct(F.col("role"), F.col("text").alias("content")))
     level = messages.where("parent_id is null").select("message_id", F.lit(0).alias("depth"), one.alias("path"))
-    out, children = level, messages.where("parent_id is not null").select(F.col("message_id").alias("c_id"), "parent_id", one.alias("own"))
-    for depth in range(1, most_depth + 1):
-        level = level.join(children, F.col("message_id") == F.col("parent_id")).select(F.col("c_id").alias("message_id"), F.lit(depth).alias("depth"), F.concat("path", "own").alias("path"))
-        if not level.head(1):
-            break
+    level = _kept(level)
+    out, depth, most, children = level, 0, messages.count(), messages.where("parent_id is not null").select(F.col("message_id").alias("c_id"), "parent_id", one.alias("own"))
+    while True:
+        depth += 1
+        level = _kept(level.join(children, F.col("message_id") == F.col("parent_id")).select(F.col("c_id").alias("message_id"), F.lit(depth).alias("depth"), F.concat("path", "own").alias("path")))
+        if level.isEmpty():
+            return out
+        if depth >= most:
+            raise ValueError("the messages' parents form a cycle")
         out = out.unionAll(level)
-    return out
 
 
 def first_reply(replies: DataFrame, least_chars: int = 16) -> DataFrame:

@@ -200,6 +200,18 @@ def test_reply_tree(spark):
     assert got == {1: ["q"], 2: ["q", "a"], 3: ["q", "b"], 4: ["q", "b", "c"]}
 
 
+def test_chains_of_any_depth(spark):
+    rows = [(i, i - 1 if i else None, "user", str(i)) for i in range(68)]
+    got = {r["message_id"]: (r["depth"], len(r["path"])) for r in trees.message_chains(spark.createDataFrame(rows, "message_id long, parent_id long, role string, text string").coalesce(1)).collect()}
+    assert got == {i: (i, i + 1) for i in range(68)}
+
+
+def test_chains_with_a_cycle(spark):
+    rows = [(1, None, "user", "q"), (2, 1, "assistant", "a"), (1, 2, "user", "q")]
+    with pytest.raises(ValueError, match="cycle"):
+        trees.message_chains(spark.createDataFrame(rows, "message_id long, parent_id long, role string, text string"))
+
+
 def test_nucleus_against_sort(spark):
     rng = np.random.default_rng(2)
     rows, want = [], {}
