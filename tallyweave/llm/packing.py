@@ -53,30 +53,39 @@ def byte_level_ranks(tokenizer_json: str) -> dict[bytes, int]:
 _local: dict[int, tiktoken.Encoding] = {}
 
 
+def added_tokens(tokenizer_json: str) -> dict[str, int]:
+    """The strings that the tokenizers library takes out of a text before all else, with their ids; raises for options not served here."""
+    added = [t for t in json.loads(tokenizer_json).get("added_tokens") or () if t["content"]]
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that look at their neighbours are not served")
+    return {t["content"]: t["id"] for t in added}
+
+
 def _encoding(tokenizer_json: str, pattern: str) -> tiktoken.Encoding:
     key = zlib.crc32(tokenizer_json.encode()), pattern
     if key not in _local:
         _local.clear()
-        _local[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=byte_level_ranks(tokenizer_json), special_tokens={})
+        _local[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=byte_level_ranks(tokenizer_json), special_tokens=added_tokens(tokenizer_json))
     return _local[key]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, room: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, room: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, added: bool = False) -> DataFrame:
     """Tokenise whole texts, end each with ``end`` and cut those over ``room``; the first piece is the short one.
 
     Returns (doc_id, piece int, start long, length long, ids_crc32 long) and, with ``ids``, the ids. Null and
     empty texts give one piece, ``end`` alone. The ids are those of the tokenizers library for the file,
-    special tokens' strings being ordinary text.
+    with ``added`` by its default settings, else with ``encode_special_tokens``: added tokens' strings are text.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoding(*shared.value)
+        allowed = coder.special_tokens_set if added else set()
         for batch in batches:
             doc, piece, start, length, crc, own = [], [], [], [], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = np.append(coder.encode_to_numpy(x.as_py() or "", disallowed_special=()), end).astype("<u4")
+                got = np.append(coder.encode_to_numpy(x.as_py() or "", allowed_special=allowed, disallowed_special=()), end).astype("<u4")
                 first = len(got) % room or room
                 cuts = [0, *range(first, len(got) + 1, room)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -269,9 +278,9 @@ def pack(found: DataFrame, room: int = 1024) -> DataFrame:
     return map_arrow(ranked, run, f"{kinds}, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, tokenizer_path: str, pattern: str, room: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, pattern: str, room: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, added: bool = False) -> DataFrame:
     """``pieces`` of all documents, packed by ``pack``: a row for each piece.
 
     Rows with equal or null ids are documents of their own; columns other than the id and the text are not read.
     """
-    return pack(written(pieces(docs, tokenizer_path, pattern, room, end, id_col, text_col, ids)), room)
+    return pack(written(pieces(docs, tokenizer_path, pattern, room, end, id_col, text_col, ids, added)), room)

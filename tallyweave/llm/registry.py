@@ -10,7 +10,7 @@ from tallyweave.session import table
 
 def op1_best_fit_packing(spark, sf_dir):
     """All documents packed into sequences of 1024 tokens."""
-    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
 
 
 def op2_line_dedup(spark, sf_dir):

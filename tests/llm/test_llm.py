@@ -116,6 +116,19 @@ def test_packing(spark, docs, odd, none):
     assert packing.packed(none, JSON_PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["see <|endoftext|> here", "<|endoftext|><|endoftext|>", " <|endoftext|>\n x", "a<|endoftext|>b  ", "<|endoftext| >", "é  <|endoftext|>  日本", ""]
+    t = Tokenizer.from_file(JSON_PATH)
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+    assert want[0] == [3826, 220, 50256, 994, 2]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for packed in (registry.op1_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))):
+        got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packed.collect()}
+        assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_local_search(seed):
     rng = random.Random(seed)
