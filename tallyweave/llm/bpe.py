@@ -26,6 +26,9 @@ from tallyweave.llm.common import map_arrow
 #: Entries of a worker's cache of encoded pieces of text; beyond it, pieces are encoded each time.
 CACHED = 1 << 19
 _TWO_WHITE = re.compile(r"\s\s")
+#: White space in a row that the tiktoken library's pattern engine can take; it fails from some 10^6 on.
+LONG_WHITE = 50_000
+_LONG_WHITE = re.compile(rf"\s{{{LONG_WHITE}}}")
 
 
 class Cached(dict):
@@ -151,6 +154,11 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def long_white(text: str) -> bool:
+    """Whether a text holds a run of white space that the tiktoken library can't be trusted with."""
+    return len(text) >= LONG_WHITE and _LONG_WHITE.search(text) is not None
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """The table in a .tiktoken file."""
     with open(path, "rb") as lines:

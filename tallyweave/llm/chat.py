@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.bpe import load_ranks
+from tallyweave.llm.bpe import coder_of, load_ranks, long_white
 from tallyweave.llm.common import map_arrow
 
 OPEN, BETWEEN, CLOSE = "### ", ": ", "</turn>\n"
@@ -126,7 +126,7 @@ def _counter(ranks: dict[bytes, int], pattern: str) -> Callable[[str], int]:
     key = (len(ranks), pattern)
     if key not in _local:
         _local[key] = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: len(_local[key].encode_ordinary(text))
+    return lambda text: len(coder_of(ranks, pattern).encode(text)) // 4 if long_white(text) else len(_local[key].encode_ordinary(text))
 
 
 def formatted(turns: DataFrame, ranks_path: str, pattern: str, budget: int = 1024, history: int = 256) -> DataFrame:

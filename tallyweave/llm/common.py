@@ -20,10 +20,12 @@ WHITE_SET = " \t\n\x0b\f\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests) is a folder made.
+    The cluster names it in ``spark.checkpoint.dir``; only in local mode, where that may be unset, is a folder made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyweave-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
@@ -98,16 +100,6 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE))
 
 
-def rows_where(df: DataFrame, flag: str) -> DataFrame:
-    """Rows whose boolean column ``flag`` is true, without pushing the condition down.
-
-    Pushed down, the filter would repeat all that ``flag`` is computed from, one step inside the other. A
-    random column, always at least zero, keeps it where it is.
-    """
-    stop = free_name(df, "stop")
-    return df.withColumn(stop, F.rand(0)).where(F.col(flag) & (F.col(stop) >= 0)).drop(stop)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have."""
     taken, name = {c.lower() for c in df.columns}, base

@@ -40,7 +40,10 @@ CLOSES_P = set(
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: Tags of a page whose quotes never close; after that many, tags end at the next ``>``, quoted or not.
+UNCLOSED = 50
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|itemprop)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WHITE = re.compile(r"\s+")
@@ -68,14 +71,49 @@ def _attributes(source: str) -> tuple[frozenset, bool]:
     return frozenset(words), hidden
 
 
+class _Tags:
+    """The tags of a page in order, as (begin, end, closing, name, attributes); comments and declarations have no name.
+
+    Reads a page once: a tag ends at the first ``>`` outside quotes or, if its quotes never close, at the first
+    ``>``; without any the rest of the page is text.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last, self.unclosed = source, source.rfind(">"), 0
+
+    def next(self, place: int) -> tuple[int, int, bool, str, str] | None:
+        source = self.source
+        while (found := _MARK.search(source, place)) is not None:
+            at, after = found.span()
+            if found[1]:
+                end = source.find("-->", after)
+                return at, end + 3 if end >= 0 else len(source), False, "", ""
+            if found[2]:
+                end = source.find(">", after)
+                return at, end + 1 if end >= 0 else len(source), False, "", ""
+            if after > self.last:
+                return None
+            rest = _REST.match(source, after) if self.unclosed < UNCLOSED else None
+            if rest is None:
+                self.unclosed += 1
+                end = source.find(">", after)
+                return at, end + 1, bool(found[3]), found[4].lower(), source[after:end]
+            return at, rest.end(), bool(found[3]), found[4].lower(), rest[1]
+        return None
+
+
 def parse(source: str) -> Node:
     """The tree of a page; text runs are nodes of tag ``#text``, split where a block element begins or ends.
 
-    Inline elements leave no node but ``a`` runs: their text joins the run around it, marked as linked.
-    Unclosed and misnested tags are closed as browsers do in the common cases; nothing makes it fail.
+    Inline elements leave no node but ``a`` runs: their text joins the run around it, marked as linked; the text
+    of hidden ones is left out. Unclosed and misnested tags are closed as browsers do in the common cases; nothing
+    makes it fail, and time grows with the length of the page.
     """
     root = Node("#root", None)
     at, links, run, linked, place, size = root, 0, [], 0, 0, len(source)
+    open_: dict[str, int] = {}  # open elements by tag
+    mute: list | None = None  # a hidden inline element: its tag, how many of it are open, and where
+    tags, ends = _Tags(source), {}
 
     def flush() -> None:
         nonlocal run, linked
@@ -86,45 +124,60 @@ def parse(source: str) -> Node:
         run, linked = [], 0
 
     def close(node: Node) -> None:
-        nonlocal at
+        nonlocal at, mute
         flush()
+        while at is not node:
+            if mute and mute[2] is at:
+                mute = None
+            open_[at.tag] -= 1
+            at = at.up
+        if mute and mute[2] is at:
+            mute = None
+        open_[at.tag] -= 1
         at = node.up or root
 
     while place < size:
-        found = _TOKEN.search(source, place)
-        piece = source[place : found.start()] if found else source[place:]
-        if piece:
+        found = tags.next(place)
+        piece = source[place : found[0]] if found else source[place:]
+        if piece and not mute:
             run.append(piece)
             linked += len(piece) * (links > 0)
         if not found:
             break
-        place = found.end()
-        tag = (found[2] or "").lower()
+        _, place, closing, tag, rest = found
         if not tag:
             continue
         if tag in INLINE:
-            if tag == "a":
-                links = 0 if found[1] else 1
+            if mute:
+                if tag == mute[0]:
+                    mute[1] += -1 if closing else 1
+                    if not mute[1]:
+                        mute = None
+                continue
+            if not closing and tag not in VOID and rest and _attributes(rest)[1]:
+                mute = [tag, 1, at]
+            elif tag == "a":
+                links = 0 if closing else 1
             elif tag == "br" or tag == "img":
                 run.append(" ")
             continue
-        if found[1]:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.up
-            if node is not root:
+        if closing:
+            if open_.get(tag):
+                node = at
+                while node.tag != tag:
+                    node = node.up
                 close(node)
                 links = 0
             continue
         flush()
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_.get("p"):
             node = at
             while node is not root and node.tag not in ("p", "td", "th", "li", "button", "table", "div", "article", "section", "body"):
                 node = node.up
             if node.tag == "p":
                 close(node)
                 links = 0
-        if tag in SAME:
+        if tag in SAME and any(open_.get(t) for t in SAME[tag]):
             node = at
             while node is not root and node.tag not in SAME[tag] and node.tag not in HOLDS[tag]:
                 node = node.up
@@ -133,20 +186,26 @@ def parse(source: str) -> Node:
                 if tag == "tr" and node.tag != "tr" and at.tag == "tr":
                     close(at)
                 links = 0
-        if tag in ("html", "body") and any(k.tag == tag for k in _chain(at)):
+        if tag in ("html", "body") and open_.get(tag):
             continue
-        if tag == "body" and any(k.tag == "head" for k in _chain(at)):
-            while at.tag != "head":
-                at = at.up
-            at = at.up
-        words, hidden = _attributes(found[3])
-        node = Node(tag, at, words, hidden=hidden)
-        if tag in VOID or found[3].rstrip().endswith("/") and tag in ("svg", "math", "iframe"):
+        if tag == "body" and open_.get("head"):
+            node = at
+            while node.tag != "head":
+                node = node.up
+            close(node)
+        words, hidden = _attributes(rest)
+        node = Node(tag, at, words, hidden=hidden or bool(mute))
+        if tag in VOID or rest.rstrip().endswith("/") and tag in ("svg", "math", "iframe"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, place)
-            place = end.end() if end else size
+            if ends.get(tag, place) >= 0:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(source, place)
+                ends[tag] = -1 if end is None else 0
+                place = end.end() if end else size
+            else:
+                place = size
             continue
+        open_[tag] = open_.get(tag, 0) + 1
         at = node
     flush()
     return root

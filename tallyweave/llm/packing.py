@@ -12,6 +12,7 @@ of their length, which is counted in buckets of about ``BUCKET`` rows, so no len
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyweave.llm import bpe
 from tallyweave.llm.common import map_arrow, written
 
 BUCKET = 1000
-#: Donor bins without any exchange after which the local search ends, and its steps at most (effort, not rows).
+#: Donor patterns without any exchange after which the local search ends, and its steps at most (effort: a step
+#: exchanges between all bins of two patterns, however many).
 TRIES, STEPS = 64, 4000
 
 
@@ -50,9 +53,6 @@ def byte_level_ranks(tokenizer_json: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in t): model["vocab"][t] for t in kept}
 
 
-_local: dict[int, tiktoken.Encoding] = {}
-
-
 def added_tokens(tokenizer_json: str) -> dict[str, int]:
     """The strings that the tokenizers library takes out of a text before all else, with their ids; raises for options not served here."""
     added = [t for t in json.loads(tokenizer_json).get("added_tokens") or () if t["content"]]
@@ -61,11 +61,32 @@ def added_tokens(tokenizer_json: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in added}
 
 
-def _encoding(tokenizer_json: str, pattern: str) -> tiktoken.Encoding:
+class Coder:
+    """Ids of whole texts: the tiktoken library's, and this package's own coder's for texts with very long runs of white space."""
+
+    def __init__(self, tokenizer_json: str, pattern: str):
+        self.ranks, self.pattern, self.added = byte_level_ranks(tokenizer_json), pattern, added_tokens(tokenizer_json)
+        self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens=self.added)
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
+
+    def encode(self, text: str, added: bool) -> np.ndarray:
+        if not bpe.long_white(text):
+            return self.fast.encode_to_numpy(text, allowed_special=self.fast.special_tokens_set if added else set(), disallowed_special=())
+        own = bpe.coder_of(self.ranks, self.pattern)
+        parts = self.marks.split(text) if added and self.marks else [text]
+        ids = [np.array([self.added[x]], "<u4") if i % 2 else np.frombuffer(own.encode(x), "<u4") for i, x in enumerate(parts)]
+        return np.concatenate(ids)
+
+
+_local: dict[tuple, Coder] = {}
+
+
+def _coder(tokenizer_json: str, pattern: str) -> Coder:
     key = zlib.crc32(tokenizer_json.encode()), pattern
     if key not in _local:
         _local.clear()
-        _local[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=byte_level_ranks(tokenizer_json), special_tokens=added_tokens(tokenizer_json))
+        _local[key] = Coder(tokenizer_json, pattern)
     return _local[key]
 
 
@@ -80,12 +101,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, room: int = 1024,
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoding(*shared.value)
-        allowed = coder.special_tokens_set if added else set()
+        coder = _coder(*shared.value)
         for batch in batches:
             doc, piece, start, length, crc, own = [], [], [], [], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = np.append(coder.encode_to_numpy(x.as_py() or "", allowed_special=allowed, disallowed_special=()), end).astype("<u4")
+                got = np.append(coder.encode(x.as_py() or "", added), end).astype("<u4")
                 first = len(got) % room or room
                 cuts = [0, *range(first, len(got) + 1, room)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -201,9 +221,10 @@ def local_search(bins: dict[Pattern, int], room: int) -> dict[Pattern, int]:
             bins[pattern] = bins.get(pattern, 0) + n
             if not bins[pattern]:
                 del bins[pattern]
+                failed.discard(pattern)
 
-    least = -(-sum(sum(p) * n for p, n in bins.items()) // room)
     failed: set[Pattern] = set()
+    least = -(-sum(sum(p) * n for p, n in bins.items()) // room)
     for _ in range(STEPS):
         if len(failed) >= TRIES or sum(bins.values()) <= least:
             break
@@ -216,10 +237,10 @@ def local_search(bins: dict[Pattern, int], room: int) -> dict[Pattern, int]:
             failed.add(donor)
             continue
         other, fuller, emptier = found
-        change(donor, -1)
-        change(other, -1)
-        change(fuller, 1)
-        change(emptier, 1)
+        # all bins that are equal to these two, at once
+        n = bins[donor] // 2 if other == donor else min(bins[donor], bins[other])
+        for pattern, more in ((donor, -n), (other, -n), (fuller, n), (emptier, n)):
+            change(pattern, more)
     return bins
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyweave.llm.common import WHITE, rows_where, words, written
+from tallyweave.llm.common import WHITE, words, written
 
 #: Words of a reference, and the longest word that can be one of them.
 TOP, SHORT = 24, 8
@@ -161,33 +161,39 @@ def _measured(df: DataFrame) -> DataFrame:
     )
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d_classes", "d_words", "kept")
+
+
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: list[dict] | None = None) -> DataFrame:
     """``docs`` with the rules' measures and verdict.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, d_classes, d_words
-    (double) and kept; a column of ``docs`` of such a name is replaced (columns q_* are in use meanwhile and
-    not allowed). Rows stay one for one. Null, empty and white-space texts have no words, fail and are not
+    (double) and kept; a column of ``docs`` of such a name is replaced. Rows stay one for one. Null, empty and
+    white-space texts have no words, fail and are not
     kept. Below the least number of words, and where ``refs`` have none of the document's language, a distance
     is given but does not count. Without any reference (an empty table, or too few documents of every language)
     they are null and do not count either. Equal
     rows get equal verdicts. Windows of five words are compared by a 64-bit hash within one text.
+
+    The measures come out of a generator of one row, which conditions on them are not pushed through: inside the
+    projections below, a condition would repeat all that its column is computed from, one step in the other.
     """
-    clash = [c for c in docs.columns if c.lower().startswith("q_")]
-    if clash:
-        raise ValueError(f"columns {clash} are in use here")
     refs = references(docs, text_col, lang_col) if refs is None else refs
     known = _lang(lang_col).isin([r["lang"] for r in refs])
-    df = _measured(docs.withColumns({"q_text": F.coalesce(F.col(text_col), F.lit("")), "q_known": known}))
-    df = _distances(df, refs)
+    left = [c for c in docs.columns if c.lower() not in MEASURES]
+    row = F.struct(*(F.col(f"`{c}`") for c in left)) if left else F.lit(0)
+    df = docs.select(row.alias("q_row"), F.coalesce(F.col(text_col), F.lit("")).alias("q_text"), known.alias("q_known"))
+    df = _distances(_measured(df), refs)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = lambda d, most, least: F.coalesce((F.col("n_words") >= least) & (F.col(d) > most), F.lit(False))
     odd = far("d_classes", MOST_CLASSES, LEAST_WORDS_CLASSES) | far("d_words", MOST_WORDS, LEAST_WORDS_WORDS)
     df = df.withColumn("base_failed", failed)
     df = df.withColumn("kept", ~F.col("base_failed") & ~(F.col("q_known") & odd))
-    return df.drop(*(c for c in df.columns if c.startswith("q_")))
+    out = df.select("q_row", F.inline(F.array(F.struct(*MEASURES))))
+    return out.select(*([f"q_row.`{c}`" for c in left]), *MEASURES)
 
 
 def kept_only(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    return rows_where(judged(rows, "t", "l"), "kept").select("row.*")
+    return judged(rows, "t", "l").where("kept").select("row.*")
