@@ -96,7 +96,6 @@ def _pieces(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON_PATH)
-    t.encode_special_tokens = True
     want = defaultdict(list)
     for r in rows:
         ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 2]
@@ -110,7 +109,7 @@ def _pieces(rows):
 def test_packing(spark, docs, odd, none):
     for df in (docs, odd):
         want = _pieces(df.select("doc_id", "text").collect())
-        n = _check_packing(packing.packed(df, JSON_PATH, public_tokenizers.PATTERN).collect(), want)
+        n = _check_packing(packing.packed(df, JSON_PATH, public_tokenizers.PATTERN, added=True).collect(), want)
         total = sum(x[2] for v in want.values() for x in v)
         assert n <= 1.01 * total / 1024 + 2
     assert packing.packed(none, JSON_PATH, public_tokenizers.PATTERN).count() == 0
@@ -166,30 +165,53 @@ def _distance(a, b):
     return p[-1]
 
 
-def _line_groups(rows):
-    """Places that go, by brute force over all pairs of distinct lines that share blocks."""
-    norm = lambda s: " ".join(WORDS.findall(s)).lower()
-    firsts, fps = {}, {}
+def _norm(line):
+    return " ".join(WORDS.findall(line)).lower()
+
+
+def _line_blocks(norm):
+    """The blocks of a line, written out."""
+    signed = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    one = lambda x: signed(xxhash.xxh64_intdigest(x, 42))
+    ws = norm.split(" ")
+    if len(ws) >= lines.FEW_WORDS:
+        h = [one(w) for w in ws]
+        found = sorted(signed((x << 1) ^ y) for x, y in zip(h, h[1:]))
+    else:
+        found = sorted({one(norm[i : i + lines.RUN]) for i in range(max(1, len(norm) - lines.RUN + 1))})
+    out = set()
+    for j in range(lines.BLOCKS):
+        at = sum(x < (j << 64) // lines.BLOCKS - (1 << 63) for x in found)
+        x, y, z = (found[(at + i) % len(found)] for i in range(3))
+        out.add((x & y) | (y & z) | (x & z))
+    return out
+
+
+def _near_lines(a, b):
+    """The links' rule, by plain distances."""
+    share = lambda x, y, most: _distance(x, y) <= most * max(len(x), len(y)) + 1e-9
+    x, y = a.split(" "), b.split(" ")
+    if min(len(x), len(y)) < lines.FEW_WORDS:
+        return share(a, b, 0.2)
+    if share(x, y, 0.2):
+        return True
+    return max(len(a), len(b)) <= lines.LONG and share(x, y, 0.5) and share(a, b, 0.2)
+
+
+def _line_groups(rows, candidate, least=lines.LEAST_WORDS):
+    """Places that go, by brute force over all pairs of distinct lines that ``candidate`` lets through, and the linked pairs."""
+    firsts = {}
     for doc, text in rows:
         for i, line in enumerate((text or "").split("\n")):
-            n = norm(line)
-            if len(n.split(" ")) >= lines.LEAST_WORDS:
+            n = _norm(line)
+            if n and len(n.split(" ")) >= least:
                 firsts[n] = min(firsts.get(n, (doc, i)), (doc, i))
-    for n in firsts:
-        h = [xxhash.xxh64_intdigest(w, 42) for w in set(n.split(" "))]
-        fps[n] = sum(1 << 7 * j + k for k in range(5) for j in range(9) if 2 * sum(x >> 9 * k + j & 1 for x in h) > len(h))
-    groups, names = Union(), list(firsts)
-    for mask in lines.block_masks(3):
-        shared = defaultdict(list)
-        for n in names:
-            shared[fps[n] & mask].append(n)
-        for members in shared.values():
-            for i, a in enumerate(members):
-                for b in members[i + 1 :]:
-                    x, y = (a, b) if max(len(a), len(b)) <= lines.LONG else (a.split(" "), b.split(" "))
-                    most = max(len(x), len(y))
-                    if bin(fps[a] ^ fps[b]).count("1") <= lines.FAR and min(len(x), len(y)) >= 0.8 * most - 1e-9 and _distance(x, y) <= 0.2 * most + 1e-9:
-                        groups.join(a, b)
+    groups, names, linked = Union(), list(firsts), []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            if min(len(a), len(b)) >= 0.7 * max(len(a), len(b)) and candidate(a, b) and _near_lines(a, b):
+                groups.join(a, b)
+                linked.append((a, b))
     best = {}
     for n in names:
         r = groups.find(n)
@@ -197,10 +219,15 @@ def _line_groups(rows):
     gone = defaultdict(set)
     for doc, text in rows:
         for i, line in enumerate((text or "").split("\n")):
-            n = norm(line)
+            n = _norm(line)
             if n in firsts and best[groups.find(n)] != (doc, i):
                 gone[doc].add(i)
-    return gone
+    return gone, linked
+
+
+def _by_blocks(rows):
+    blocks = {n: _line_blocks(n) for _, text in rows for line in (text or "").split("\n") if (n := _norm(line))}
+    return lambda a, b: bool(blocks[a] & blocks[b])
 
 
 def test_lines(spark, docs):
@@ -215,7 +242,7 @@ def test_lines(spark, docs):
 
     rows = [(i, "\n".join(altered(rng.choice(base)) if rng.random() < 0.8 else rng.choice(["", "one", "a | b | c | d"]) for _ in range(rng.randint(1, 6)))) for i in range(80)]
     for found in (rows, [(r["doc_id"], r["text"]) for r in docs.where("doc_id < 80 and n_chars < 4000").collect()]):
-        gone = _line_groups(found)
+        gone, _ = _line_groups(found, _by_blocks(found))
         out = lines.deduplicated(spark.createDataFrame(found, "doc_id long, text string")).collect()
         for r in out:
             text = dict(found)[r["doc_id"]]
@@ -241,34 +268,58 @@ def test_long_lines_compare_by_words(spark):
     assert {r["doc_id"]: r["n_removed"] for r in lines.deduplicated(rows).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def test_lines_recall_against_all_pairs():
+    """Of all pairs of similar lines, without any blocks, at least nine in ten are candidates."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["an", "be", "co", "da", "el", "fi", "go", "hu"]) for _ in range(rng.choice((1, 1, 2, 3))))
+    every = caught = 0
+    for _ in range(150):
+        base = [word() for _ in range(rng.choice((6, 10, 20, 40, 80)))]
+        other = list(base)
+        for _ in range(rng.randint(1, max(1, len(base) // 8))):
+            rng.choice((lambda i: other.__setitem__(i, word()), lambda i: other.insert(i, word()), lambda i: len(other) > 3 and other.pop(i)))(rng.randrange(len(other)))
+        a, b = " ".join(base), " ".join(other)
+        if a != b and _near_lines(a, b):
+            every += 1
+            caught += bool(_line_blocks(a) & _line_blocks(b))
+    assert every > 100 and caught >= 0.9 * every
+
+
+def test_lines_of_documents_recall(spark, docs):
+    found = [(r["doc_id"], r["text"]) for r in docs.where("doc_id < 40 and n_chars < 3000").collect()]
+    _, all_pairs = _line_groups(found, lambda a, b: True)
+    candidate = _by_blocks(found)
+    assert sum(candidate(a, b) for a, b in all_pairs) >= 0.9 * len(all_pairs)
+
+
 def test_short_lines_and_spread_edits(spark):
     rows = [(i, f"Read more\n{x}\n今日は天気がいいです\nword") for i, x in enumerate(["first document here today", "quite another text stands there", "nothing like the others at all"])]
     left = {r["doc_id"]: r["text"] for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left == {0: rows[0][1], 1: "quite another text stands there", 2: "nothing like the others at all"}
     a = "abcdefgh " * 20
-    pair = spark.createDataFrame([(a, a.replace("abcdefgh abcdefgh", "abcdefgh abcdefgx"))], "a string, b string")
-    assert pair.select(lines.edit_similar(F.col("a"), F.col("b"))).first()[0]
+    pairs = [(a, a.replace("abcdefgh abcdefgh", "abcdefgh abcdefgx")), (a, "zyxwvuts " * 20), ("one two three", "one two threx"), ("one two three", "xne twx thrxx")]
+    near = lines.edit_similar(F.col("a"), F.col("b"), lines.coded(F.col("a")), lines.coded(F.col("b")))
+    assert [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(near).collect()] == [True, False, True, False]
 
 
-def _linked_lines(spark, rows, count=None):
-    """Links of distinct lines given as (node, fp, norm)."""
-    made = spark.createDataFrame([(str(n).encode(), n, fp, len(x), len(x.split(" ")), x) for n, fp, x in rows], "key binary, node long, fp long, chars int, n_words int, norm string")
-    found = made.select("key", "norm")
-    frame = made.drop("norm")
-    if count:
-        frame.count = lambda: count
-    return {tuple(sorted((int(bytes(r["a"])), int(bytes(r["b"]))))) for r in lines.links(frame, found).collect()}
+def _linked_lines(spark, rows):
+    """Links of distinct lines given as (node, blocks, norm)."""
+    names = ", ".join(f"b{j} long" for j in range(lines.BLOCKS))
+    made = spark.createDataFrame([(str(n).encode(), n, len(x), len(x.split(" ")), x, *bs) for n, bs, x in rows], f"key binary, node long, chars int, n_words int, norm string, {names}")
+    return {tuple(sorted((int(bytes(r["a"])), int(bytes(r["b"]))))) for r in lines.links(made.drop("norm"), made.select("key", "norm")).collect()}
 
 
-def test_line_candidates_do_not_depend_on_the_size(spark):
-    rows = [(1, 0, "one two three four five"), (2, 0b11, "one two three four fixe")]
-    assert _linked_lines(spark, rows, 1 << 24) == {(1, 2)}
+def test_line_between_two_pivots_links_both(spark):
+    said = ["bbba aaaa aaaa aaaa", "aaaa aaaa aaaa aaaa", "aaaa aaaa aaaa accc"]
+    assert _linked_lines(spark, [(i + 1, [7] * 6, x) for i, x in enumerate(said)]) == {(1, 2), (2, 3)}
 
 
-def test_line_between_two_pivots_links_both(spark):
-    rows = [(1, 0, "bbba aaaa aaaa aaaa"), (2, 0, "aaaa aaaa aaaa aaaa"), (3, 0, "aaaa aaaa aaaa accc")]
-    links = _linked_lines(spark, rows)
-    assert links == {(1, 2), (2, 3)}
+def test_lines_of_a_hot_block_meet_in_two(spark):
+    rng = random.Random(4)
+    said = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(6)) for _ in range(30)]
+    rows = [(2 * i, [7, 8, 100 + i, 200 + i, 300 + i, 400 + i], x) for i, x in enumerate(said)]
+    rows += [(2 * i + 1, [7, 8, 100 + i, 500 + i, 600 + i, 700 + i], x[:-1] + "z") for i, x in enumerate(said)]
+    assert {(2 * i, 2 * i + 1) for i in range(30)} <= _linked_lines(spark, rows)
 
 
 # --- 3 SimHash -----------------------------------------------------------------------------------------------------
@@ -577,8 +628,7 @@ def test_pipeline(spark, sf_dir, docs):
             kept = {r["doc_id"] for r in quality.judged(before).where("kept").collect()}
             assert {r["doc_id"] for r in now.collect()} == kept
         if i == 1:
-            gone = _line_groups([(r["doc_id"], r["text"]) for r in before.collect()]) if before.count() < 60 else None
-            assert gone is None or {r["doc_id"] for r in now.collect()} <= {r["doc_id"] for r in before.collect()}
+            assert {r["doc_id"] for r in now.collect()} <= {r["doc_id"] for r in before.collect()}
         if i == 2:
             reps = {r["doc_id"] for r in simhash.near_duplicates(before).where("doc_id = component_id").collect()}
             assert {r["doc_id"] for r in now.collect()} == reps
