@@ -57,20 +57,56 @@ def gamma_q(shape: Column, x: Column) -> Column:
     return F.pandas_udf(run, "double")(shape, x)
 
 
+def _half_tail(least: int, n: int) -> float:
+    """Probability of ``least`` or more of ``n`` fair coins; exact up to 1000 of them, else by the incomplete beta function."""
+    if n <= 1000:
+        return sum(math.comb(n, k) for k in range(least, n + 1)) / (1 << n)
+    a, b = least, n - least + 1  # I_1/2(a, b); its continued fraction converges fast for a > b, as here
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - (a + b) * math.log(2.0)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * 0.5 / (a + 1) or tiny)
+    out, m = d, 0
+    while True:
+        m += 1
+        for term in (m * (b - m) * 0.5 / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * 0.5 / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + term * d or tiny), 1 + term / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14 or m > 1_000_000:
+            return min(1.0, front * out)
+
+
+def mcnemar(improved: int, regressed: int) -> float:
+    """One-sided tail of discordant pairs; 1 if there are none or no more improved."""
+    if improved <= regressed:
+        return 1.0
+    return _half_tail(improved, improved + regressed)
+
+
 def mcnemar_tail(improved: Column, regressed: Column) -> Column:
-    """``mcnemar`` for columns; meant for a summary of a few rows, as its integers are exact."""
+    """``mcnemar`` for columns, in Arrow batches; null in, null out."""
     import types
 
-    tail = types.FunctionType(mcnemar.__code__, {"math": math, "__builtins__": __builtins__}, "tail")
-    return F.udf(lambda a, b: tail(a, b), "double")(improved, regressed)
+    scope = {"math": math, "__builtins__": __builtins__}
+    scope["_half_tail"] = types.FunctionType(_half_tail.__code__, scope, "tail")
+    tail = types.FunctionType(mcnemar.__code__, scope, "tail")
 
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(i) or pd.isna(j) else tail(int(i), int(j)) for i, j in zip(a, b)], dtype="float64")
 
-def mcnemar(improved: int, regressed: int) -> float:
-    """Exact one-sided tail of discordant pairs; 1 if there are none or no more improved."""
-    n = improved + regressed
-    if n == 0 or improved <= regressed:
-        return 1.0
-    return sum(math.comb(n, k) for k in range(improved, n + 1)) / (1 << n)
+    return F.pandas_udf(run, "double")(improved, regressed)
+
+
+def unweighted_gamma(n: Column, score_sum: Column, alpha: float) -> Column:
+    """Struct (mean, p_value, strength, detected) of ``n`` scores with a sum, for a mixing share ``alpha``; nothing is detected in none."""
+    base = alpha * alpha + (1 - alpha) * (1 - alpha)
+    p = F.when(n == 0, F.lit(1.0)).otherwise(gamma_q(n / F.lit(base), score_sum / F.lit(base)))
+    mean = F.when(n == 0, F.lit(0.0)).otherwise(score_sum / F.nullif(n, F.lit(0)))
+    return F.struct(mean.alias("mean"), p.alias("p_value"), minus_log10(p).alias("strength"), (p < 0.01).alias("detected"))
+
+
+def passes_gate(gain: Column, p_value: Column, least_gain: float = 0.0, alpha: float = 0.05) -> Column:
+    """Whether a gain is large and sure enough; null measures (no samples) do not pass."""
+    return F.coalesce((gain > least_gain) & (p_value <= alpha), F.lit(False))
 
 
 def minus_log10(p: Column) -> Column:

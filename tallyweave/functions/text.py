@@ -1,4 +1,4 @@
-"""Scalar text functions over columns: answers, choices, chat rendering, names and digests."""
+"""Scalar text functions over columns: answers, choices, chat rendering, model names and digests."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 # Patterns of answers.
 BOXED = r"(?i)\\boxed\s*\{\s*([A-D])\s*\}"
-SAID = r"(?i)(?:answer|option|choice)\s*(?:is|:)?\s*[\(\[]?\s*([A-D])\b"
-NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"
+SAID = r"(?i)(?:final\s+answer|answer|option|choice)\s*(?:is|:)?\s*[*\\(\[]*([A-D])\b"
+NUMBER = r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:/\d+)?"
 THINK, END_THINK = "<think>", "</think>"
 NUL = chr(0)
+# Part of a model's name, and the short name it stands for.
+DISTILLED = ("deepseek-r1-distill", "r1-distill-7b")
 
 
 def stable_hash(*parts: Column) -> Column:
@@ -47,10 +49,14 @@ def choice_correct(predicted: Column, gold: Column) -> Column:
     return F.coalesce(predicted == gold, F.lit(False))
 
 
-def numeric_answer(text: Column) -> Column:
-    """The first number after the last ``####``, without commas; null if there is none."""
+def numeric_answer(text: Column, strict: bool = True) -> Column:
+    """The first number after the last ``####``, without commas.
+
+    Texts without the mark or a number behind it raise, or are null unless ``strict``; so is null itself.
+    """
     number = F.regexp_replace(F.regexp_extract(F.substring_index(text, "####", -1), NUMBER, 0), ",", "")
-    return F.when(text.contains("####") & (number != ""), number)
+    bad = F.raise_error(F.concat(F.lit("no number after ####: "), F.left(text, F.lit(80)))).cast("string") if strict else F.lit(None).cast("string")
+    return F.when(text.contains("####") & (number != ""), number).when(text.isNotNull(), bad)
 
 
 def chatml(messages: Column) -> Column:
@@ -73,26 +79,22 @@ def role_prefixed(messages: Column) -> Column:
     return F.concat(F.array_join(F.transform(said, lambda m: F.concat(F.initcap(m["role"]), F.lit(": "), F.rtrim(m["content"]))), "\n"), F.lit("\nAssistant:"))
 
 
-def think_prefix(text: Column) -> Column:
-    """The text up to the end of its thinking, or empty."""
-    at = F.instr(text, END_THINK)
-    return F.when(text.startswith(THINK) & (at > 0), F.substring(text, F.lit(1), at + len(END_THINK) - 1)).otherwise("")
+def think_split(text: Column) -> Column:
+    """Struct (prefix, rest): an opening thinking mark, or empty, and what follows."""
+    has = text.startswith(THINK)
+    return F.struct(F.when(has, THINK).otherwise("").alias("prefix"), F.when(has, F.substr(text, F.lit(len(THINK) + 1))).otherwise(text).alias("rest"))
 
 
 def without_second_think(prompt: Column, response: Column) -> Column:
-    """The response without its opening mark where the prompt ends with one."""
-    twice = prompt.endswith(THINK) & response.startswith(THINK)
-    return F.when(twice, F.substr(response, F.lit(len(THINK) + 1))).otherwise(response)
+    """The response without its opening mark and the newlines behind it where the prompt ends with one, white space aside."""
+    inner = F.regexp_replace(response, r"^(?U)\s+", "")
+    twice = F.regexp_replace(prompt, r"(?U)\s+$", "").endswith(THINK) & inner.startswith(THINK)
+    return F.when(twice, F.ltrim(F.substr(inner, F.lit(len(THINK) + 1)), F.lit("\n"))).otherwise(response)
 
 
 def model_short_name(name: Column) -> Column:
     """Last part of a path, lower case, letters, digits, dots and hyphens only; ``model`` if nothing is left."""
-    short = F.regexp_replace(F.lower(F.substring_index(name, "/", -1)), r"[^\p{L}\p{N}.\-]", "")
+    low = F.lower(F.substring_index(name, "/", -1))
+    low = F.when(low.contains(DISTILLED[0]), DISTILLED[1]).otherwise(low)
+    short = F.regexp_replace(low, r"[^\p{L}\p{N}.\-]", "")
     return F.when(short == "", "model").otherwise(short)
-
-
-def metrics_dir_parts(path: Column) -> Column:
-    """Struct (student, method, lr, epochs) of a ``{student}_{method}_lr{lr}_e{epochs}`` name; nulls if it is none."""
-    pattern = r"^([^_]+)_(.+)_lr([^_]+)_e([0-9]+)$"
-    part = lambda i: F.nullif(F.regexp_extract(path, pattern, i), F.lit(""))
-    return F.struct(*(part(i + 1).alias(n) for i, n in enumerate(("student", "method", "lr", "epochs"))))

@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyweave.functions.text import hash_bucket, stable_hash
 
 
+def trace_id(prompt: Column, response: Column) -> Column:
+    """The identity of a trace: a hash of its texts' hashes."""
+    return stable_hash(F.sha2(prompt, 256), F.sha2(response, 256))
+
+
+def order_key(seed: int, split: Column, prompt: Column, response: Column) -> Column:
+    """What the rows of a split are ordered by: a hash, so that the order is stable and tells nothing."""
+    return stable_hash(F.lit(str(seed)), split, F.sha2(prompt, 256), F.sha2(response, 256))
+
+
 def leakage_free_split(rows: DataFrame, seed: int = 42, train: int = 9000, evaluation: int = 1000, per_prompt: int = 3, most_tokens: int = 4096, buckets: int = 5) -> DataFrame:
     """Decide on rows (scan_pos, prompt, response, n_tokens) in scan order.
 
     Adds trace (hash), split, accepted and reason, and leaves out rows behind the place where both quotas were full.
     Prompts go to a split by hash, so none is in both. A row is a duplicate if its trace was accepted before;
-    then too long; then its split is full or its prompt has had its share. Ranks within a split are taken over
-    the rows that qualify, the only steps that order a whole split; they carry no texts.
+    then too long; then its split is full or its prompt has had its share. Only traces and
+    places are sorted, no texts.
     """
     digest = stable_hash(F.lit(str(seed)), F.col("prompt"))
     base = rows.withColumns(
-        {"trace": stable_hash(F.col("prompt"), F.col("response")), "split": F.when(hash_bucket(digest, buckets) == 0, "eval").otherwise("train"), "fits": F.col("n_tokens") <= most_tokens}
+        {"trace": trace_id(F.col("prompt"), F.col("response")), "split": F.when(hash_bucket(digest, buckets) == 0, "eval").otherwise("train"), "fits": F.col("n_tokens") <= most_tokens}
     )
     slim = base.where("fits").select("scan_pos", "prompt", "trace", "split")
     first = slim.groupBy("trace").agg(F.min("scan_pos").alias("scan_pos"), F.min_by("prompt", "scan_pos").alias("prompt"), F.min_by("split", "scan_pos").alias("split"))
     share = F.row_number().over(Window.partitionBy("prompt").orderBy("scan_pos"))
     first = first.withColumn("share", share).where((F.col("share") <= F.when(F.col("split") == "eval", 1).otherwise(per_prompt)))
-    place = F.row_number().over(Window.partitionBy("split").orderBy("scan_pos"))
-    quota = F.when(F.col("split") == "eval", evaluation).otherwise(train)
-    taken = first.withColumn("place", place).where(F.col("place") <= quota)
-    full = taken.groupBy().agg(
-        F.max(F.when((F.col("split") == "train") & (F.col("place") == train), F.col("scan_pos"))).alias("full_train"),
-        F.max(F.when((F.col("split") == "eval") & (F.col("place") == evaluation), F.col("scan_pos"))).alias("full_eval"),
-    )
+    # a sort that keeps no more than the quota's rows in every task, instead of a rank over the split
+    of = {name: first.where(F.col("split") == name).orderBy("scan_pos").limit(quota).select("trace", "scan_pos") for name, quota in (("train", train), ("eval", evaluation))}
+    taken = of["train"].unionAll(of["eval"])
+    last = lambda name, quota: of[name].agg(F.when(F.count("*") == quota, F.max("scan_pos")).alias(f"full_{name}"))
+    full = last("train", train).join(F.broadcast(last("eval", evaluation)))  # one row each
     accepted = taken.select(F.col("trace").alias("t_trace"), F.col("scan_pos").alias("t_pos"))
     joined = base.join(accepted, F.col("trace") == F.col("t_trace"), "left").join(F.broadcast(full))  # one row
     joined = joined.where(F.col("full_train").isNull() | F.col("full_eval").isNull() | (F.col("scan_pos") <= F.greatest("full_train", "full_eval")))

@@ -14,16 +14,22 @@ def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.lower(text_col), " ")).alias("pos", "word")).select("id", "pos", token_id(F.col("word")).alias("token"))
 
 
-def bigrams(tokens: DataFrame) -> DataFrame:
-    """Add (prev, cur), -1 before the start, and the next token as ``token``; positions without a next are left out."""
-    order = Window.partitionBy("id").orderBy("pos")
-    out = tokens.select("id", "pos", F.coalesce(F.lag("token").over(order), F.lit(-1)).alias("prev"), F.col("token").alias("cur"), F.lead("token").over(order).alias("token"))
-    return out.where(F.col("token").isNotNull())
+def token_arrays(docs: DataFrame, id_col: str, text_col: str, *carried: str) -> DataFrame:
+    """(id, carried..., tokens array): one row a text."""
+    return docs.select(F.col(id_col).alias("id"), *carried, F.transform(F.split(F.lower(text_col), " "), lambda w: token_id(w)).alias("tokens"))
 
 
-def token_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tokens array): one row a text."""
-    return docs.select(F.col(id_col).alias("id"), F.transform(F.split(F.lower(text_col), " "), lambda w: token_id(w)).alias("tokens"))
+def bigrams(arrays: DataFrame, *carried: str) -> DataFrame:
+    """(id, carried..., pos, prev, cur, token) of token arrays (id, tokens): -1 before the start, and the next token as ``token``.
+
+    Positions without a next token are left out. Neighbours come from the array itself, so nothing is shuffled.
+    """
+    n = F.greatest(F.size("tokens") - 1, F.lit(0))
+    cur = F.slice("tokens", F.lit(1), n)
+    prev = F.slice(F.concat(F.array(F.lit(-1).cast("long")), F.col("tokens")), F.lit(1), n)
+    rows = F.arrays_zip(prev.alias("prev"), cur.alias("cur"), F.slice("tokens", F.lit(2), n).alias("token"))
+    at = arrays.select("id", *carried, F.posexplode(rows).alias("pos", "gram"))
+    return at.select("id", *carried, "pos", F.col("gram.prev").alias("prev"), F.col("gram.cur").alias("cur"), F.col("gram.token").alias("token"))
 
 
 def ngrams(arrays: DataFrame, n: int, first: int | None = None) -> DataFrame:
@@ -38,8 +44,19 @@ def ngrams(arrays: DataFrame, n: int, first: int | None = None) -> DataFrame:
     return at.select("id", "pos", F.slice("tokens", F.col("pos") - n + 1, n).alias("context"), F.get("tokens", F.col("pos")).alias("target"))
 
 
+def ngram_counts(arrays: DataFrame, n: int) -> DataFrame:
+    """(id, n, contexts, pairs): by the corpus rule, the targets of each array, and its different contexts of n tokens, alone and with
+    their target; arrays without a target are left out. Counted inside the row, nothing is shuffled."""
+    long = arrays.where(F.size("tokens") > n + 1)
+    count = F.size("tokens") - n - 1
+    part = lambda i: F.slice("tokens", F.lit(2 + i), count)
+    contexts = F.array_distinct(F.arrays_zip(*(part(i).alias(f"c{i}") for i in range(n))))
+    pairs = F.array_distinct(F.arrays_zip(*(part(i).alias(f"c{i}") for i in range(n + 1))))
+    return long.select("id", count.cast("long").alias("n"), F.size(contexts).cast("long").alias("contexts"), F.size(pairs).cast("long").alias("pairs"))
+
+
 def first_occurrence(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """The values of each key's first row by ``order``: an aggregation without a sort of all rows."""
+    """The values of each key's first row by ``order``, combined before the shuffle."""
     place = F.struct(*order)
     return df.groupBy(*keys).agg(*(F.min_by(v, place).alias(v) for v in values), F.count("*").alias("times"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyweave.functions.text import chat_prompt, strip
+from tallyweave.operators.traces import first_of
 
 def _kept(df: DataFrame) -> DataFrame:
     """``df`` computed into the shared folder, its lineage cut."""
@@ -42,3 +44,44 @@ def first_reply(replies: DataFrame, least_chars: int = 16) -> DataFrame:
     order = Window.partitionBy("parent_id").orderBy(F.coalesce("rank", F.lit(float("inf"))), "message_id")
     good = replies.where(F.length(F.trim("text")) >= least_chars)
     return good.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+
+
+def tree_messages(rows: DataFrame) -> DataFrame:
+    """Raw message rows under one set of names; ids and parents as strings, a rank that is no number last."""
+    return rows.select(
+        first_of(rows, "message_id", "id").cast("string").alias("message_id"),
+        first_of(rows, "parent_id").cast("string").alias("parent_id"),
+        F.coalesce(first_of(rows, "message_tree_id", "conversation_id").cast("string"), F.lit("")).alias("tree_id"),
+        F.coalesce(first_of(rows, "rank").try_cast("double"), F.lit(float("inf"))).alias("rank"),
+        "role",
+        "text",
+        first_of(rows, "lang").cast("string").alias("lang"),
+        F.coalesce(first_of(rows, "deleted").cast("boolean"), F.lit(False)).alias("deleted"),
+        F.coalesce(first_of(rows, "review_count").cast("int"), F.lit(0)).alias("review_count"),
+    )
+
+
+def reply_prompts(rows: DataFrame, lang: str | None = "en", least_reviews: int = 1, least_chars: int = 16, most_chars: int = 8000, limit: int | None = None) -> DataFrame:
+    """Contexts of assistant replies as messages: one for each parent, of its first good reply in order.
+
+    Replies are ordered by tree, rank and id. A reply counts if it is long and reviewed enough, its whole chain is
+    there and begins with a prompter, something comes before it, and the rendered context is neither empty nor too
+    long. Returns messages, lang, assistant_message_id, parent_id, message_tree_id, depth (the reply included),
+    review_count and rank.
+    """
+    held = tree_messages(rows).where(~F.col("deleted") & F.col("role").isin("prompter", "assistant") & (F.coalesce("message_id", F.lit("")) != ""))
+    if lang:
+        held = held.where(F.col("lang") == lang)
+    chains = message_chains(held.select("message_id", "parent_id", "role", "text"))
+    replies = held.where((F.col("role") == "assistant") & (F.length(strip(F.coalesce("text", F.lit("")))) >= least_chars) & (F.col("review_count") >= least_reviews))
+    found = replies.drop("role", "text").join(chains, "message_id")
+    user = lambda m: F.when(m["role"] == "prompter", "user").otherwise("assistant")
+    before = F.transform(F.slice("path", F.lit(1), F.col("depth")), lambda m: F.struct(user(m).alias("role"), strip(F.coalesce(m["content"], F.lit(""))).alias("content")))
+    found = found.where((F.col("depth") > 0) & (F.get("path", F.lit(0))["role"] == "prompter")).withColumn("messages", before)
+    rendered = F.length(chat_prompt(F.col("messages")))
+    found = found.where((rendered > 0) & (rendered <= most_chars))
+    order = ("tree_id", "rank", "message_id")
+    one = found.withColumn("place", F.row_number().over(Window.partitionBy("parent_id").orderBy(*order))).where("place = 1")
+    if limit is not None:
+        one = one.orderBy(*order).limit(limit)
+    return one.select("messages", "lang", F.col("message_id").alias("assistant_message_id"), "parent_id", F.col("tree_id").alias("message_tree_id"), (F.col("depth") + 1).alias("depth"), "review_count", F.nullif("rank", F.lit(float("inf"))).alias("rank"))

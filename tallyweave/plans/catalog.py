@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyweave.functions import keyed_hash, stats, text
-from tallyweave.operators import masking, pairs, scoring, split, tokens, trees
+from tallyweave.functions import keyed_hash, names, stats, text
+from tallyweave.operators import evaluation, masking, pairs, scoring, split, tokens, traces, trees
 from tallyweave.session import table
 
 QUERIES: dict[str, Callable] = {}
@@ -72,7 +72,7 @@ def _hoeffding(mean: str, n: str, gamma: str = "0.5") -> str:
 
 def _first_hits(spark, sf_dir, world: int = 1):
     """First occurrence of each context in shard order, with its membership."""
-    grams = tokens.bigrams(tokens.positions(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    grams = tokens.bigrams(tokens.token_arrays(table(spark, sf_dir, "documents"), "doc_id", "text"))
     rank, place = tokens.shard(F.col("id"), world)
     first = tokens.first_occurrence(grams.withColumns({"rank": rank, "place": place}), ["prev", "cur"], ["rank", "place", "pos"], ["token"])
     return keyed_hash.with_hash(first, "prev", "cur", "token", KEY).withColumn("hit", keyed_hash.in_set(F.col("x"), KEY))
@@ -104,7 +104,7 @@ def signal_by_cell_world3(spark, sf_dir):
       SELECT id, count(*)::BIGINT AS n, count(*) FILTER ({_HIT})::BIGINT AS hits, bit_xor(x)::BIGINT AS checksum FROM hashed GROUP BY id""")
 def keyed_hash_positions(spark, sf_dir):
     """The hash at every position, as counts and a checksum a document."""
-    grams = tokens.bigrams(tokens.positions(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    grams = tokens.bigrams(tokens.token_arrays(table(spark, sf_dir, "documents"), "doc_id", "text"))
     hashed = keyed_hash.with_hash(grams, "prev", "cur", "token", KEY)
     return hashed.groupBy("id").agg(F.count("*").alias("n"), F.count_if(keyed_hash.in_set(F.col("x"), KEY)).alias("hits"), F.bit_xor("x").alias("checksum"))
 
@@ -115,11 +115,10 @@ def keyed_hash_positions(spark, sf_dir):
 def closed_mode_by_source(spark, sf_dir):
     """Hits of the observed next token outside gamma one half, for contexts of the shared vocabulary, by source."""
     key = keyed_hash.HashKey(gamma=0.37)
-    docs = table(spark, sf_dir, "documents")
-    grams = tokens.bigrams(tokens.positions(docs, "doc_id", "text")).where("cur % 7 != 0")
+    grams = tokens.bigrams(tokens.token_arrays(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), "source").where("cur % 7 != 0")
     hashed = keyed_hash.with_hash(grams, "prev", "cur", "token", key)
     hit = keyed_hash.in_set(F.col("x"), key, F.col("token"), (0, 1, 2))
-    s = hashed.join(docs.select("doc_id", "source"), F.col("id") == F.col("doc_id")).groupBy("source").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+    s = hashed.groupBy("source").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
     return s.select("source", "n", "hits", F.round(stats.hoeffding(F.col("hits") / F.col("n"), F.col("n"), 0.37), 9).alias("p_value"))
 
 
@@ -129,9 +128,8 @@ def closed_mode_by_source(spark, sf_dir):
       SELECT id, count(*)::BIGINT AS n, count(DISTINCT context)::BIGINT AS contexts, count(DISTINCT (context, target))::BIGINT AS pairs, round(1 - count(DISTINCT context) / count(*)::DOUBLE, 9) AS repeated FROM n GROUP BY id""")
 def corpus_ngrams(spark, sf_dir):
     """Three-token contexts by the corpus rule, and how many repeat, a document."""
-    n = tokens.ngrams(tokens.token_arrays(table(spark, sf_dir, "documents"), "doc_id", "text"), 3)
-    out = n.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("context").alias("contexts"), F.countDistinct("context", "target").alias("pairs"))
-    return out.withColumn("repeated", F.round(1 - F.col("contexts") / F.col("n"), 9))
+    a = tokens.token_arrays(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return tokens.ngram_counts(a, 3).select("id", "n", "contexts", "pairs", F.round(1 - F.col("contexts") / F.col("n"), 9).alias("repeated"))
 
 
 @query(f"""WITH {_TOKENS}, seqs AS (SELECT id, list(token ORDER BY pos) AS t FROM toks GROUP BY id),
@@ -148,7 +146,7 @@ def response_ngrams(spark, sf_dir):
 _SPLIT = dict(train=300, evaluation=60, per_prompt=3, most_tokens=3000)
 _SPLIT_SQL = """
       base AS (SELECT doc_id AS scan_pos, source || '/' || (doc_id // 40) % 30 AS prompt, text AS response, n_chars AS n_tokens FROM documents),
-      h AS (SELECT *, sha256(prompt || chr(0) || response) AS trace, ('0x' || substr(sha256('42' || chr(0) || prompt), 1, 16))::UBIGINT % 5 = 0 AS is_eval, n_tokens <= 3000 AS fits FROM base),
+      h AS (SELECT *, sha256(sha256(prompt) || chr(0) || sha256(response)) AS trace, ('0x' || substr(sha256('42' || chr(0) || prompt), 1, 16))::UBIGINT % 5 = 0 AS is_eval, n_tokens <= 3000 AS fits FROM base),
       f AS (SELECT trace, min(scan_pos) AS scan_pos, arg_min(prompt, scan_pos) AS prompt, arg_min(is_eval, scan_pos) AS is_eval FROM h WHERE fits GROUP BY trace),
       s AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY scan_pos) AS share FROM f),
       q AS (SELECT *, row_number() OVER (PARTITION BY is_eval ORDER BY scan_pos) AS place FROM s WHERE share <= CASE WHEN is_eval THEN 1 ELSE 3 END),
@@ -172,11 +170,11 @@ def split_reject_histogram(spark, sf_dir):
     return _split(spark, sf_dir).groupBy("split", "reason").agg(F.count("*").alias("n"), F.min("scan_pos").alias("first"), F.max("scan_pos").alias("last"))
 
 
-@query(f"WITH {_SPLIT_SQL} SELECT scan_pos, CASE WHEN is_eval THEN 'eval' ELSE 'train' END AS split, trace, sha256('42' || chr(0) || CASE WHEN is_eval THEN 'eval' ELSE 'train' END || chr(0) || prompt || chr(0) || response) AS order_key FROM r WHERE reason = 'accepted'")
+@query(f"WITH {_SPLIT_SQL} SELECT scan_pos, CASE WHEN is_eval THEN 'eval' ELSE 'train' END AS split, trace, sha256('42' || chr(0) || CASE WHEN is_eval THEN 'eval' ELSE 'train' END || chr(0) || sha256(prompt) || chr(0) || sha256(response)) AS order_key FROM r WHERE reason = 'accepted'")
 def split_accepted(spark, sf_dir):
     """The accepted rows with the key of their stable order."""
     out = _split(spark, sf_dir).where("accepted")
-    return out.select("scan_pos", "split", "trace", text.stable_hash(F.lit("42"), F.col("split"), F.col("prompt"), F.col("response")).alias("order_key"))
+    return out.select("scan_pos", "split", "trace", split.order_key(42, F.col("split"), F.col("prompt"), F.col("response")).alias("order_key"))
 
 
 @query(f"""WITH {_SPLIT_SQL} SELECT count(DISTINCT prompt)::BIGINT AS prompts, count(DISTINCT CASE WHEN is_eval THEN prompt END)::BIGINT AS eval_prompts,
@@ -257,37 +255,39 @@ def first_good_reply(spark, sf_dir):
 # --- answers, pairs, coverage ----------------------------------------------------------------------------------
 
 _ANSWER_SQL = """CASE doc_id % 6 WHEN 0 THEN 'so \\boxed{' || chr((65 + doc_id % 4)::INT) || '}' WHEN 1 THEN 'first \\boxed{A}; final \\boxed{ ' || chr((97 + doc_id % 4)::INT) || ' }'
-      WHEN 2 THEN 'The final answer is ' || chr((65 + doc_id % 4)::INT) || '.' WHEN 3 THEN '<think>hm</think> 12 #### 1,' || (100 + doc_id % 900) || '.5 km' WHEN 4 THEN '<think>option is B' ELSE 'no idea' END"""
+      WHEN 2 THEN ['The final answer is ', 'Final answer: **(', 'the option [', 'answer: \('][1 + doc_id // 6 % 4] || chr((65 + doc_id % 4)::INT) || '.' WHEN 3 THEN '<think>hm</think> 12 #### ' || ['+1,', '-3/', '1,2 ', ''][1 + doc_id // 6 % 4] || (100 + doc_id % 900) || '.5 km' WHEN 4 THEN '<think>option is B' ELSE 'no idea' END"""
 
 
 def _answers(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     letter = lambda base: F.char(F.lit(base) + F.col("doc_id") % 4)
+    turn = lambda *xs: F.get(F.array(*map(F.lit, xs)), (F.floor(F.col("doc_id") / 6) % 4).cast("int"))
     k = F.col("doc_id") % 6
     said = (
         F.when(k == 0, F.concat(F.lit("so \\boxed{"), letter(65), F.lit("}")))
         .when(k == 1, F.concat(F.lit("first \\boxed{A}; final \\boxed{ "), letter(97), F.lit(" }")))
-        .when(k == 2, F.concat(F.lit("The final answer is "), letter(65), F.lit(".")))
-        .when(k == 3, F.concat(F.lit("<think>hm</think> 12 #### 1,"), (100 + F.col("doc_id") % 900).cast("string"), F.lit(".5 km")))
+        .when(k == 2, F.concat(turn("The final answer is ", "Final answer: **(", "the option [", "answer: \\("), letter(65), F.lit(".")))
+        .when(k == 3, F.concat(F.lit("<think>hm</think> 12 #### "), turn("+1,", "-3/", "1,2 ", ""), (100 + F.col("doc_id") % 900).cast("string"), F.lit(".5 km")))
         .when(k == 4, "<think>option is B")
         .otherwise("no idea")
     )
     return docs.select("doc_id", "source", said.alias("answer"), F.char(F.lit(65) + F.floor(F.col("doc_id") / 3) % 4).alias("gold"))
 
 
-@query(rf"""WITH a AS (SELECT doc_id, {_ANSWER_SQL} AS answer FROM documents), b AS (SELECT *, regexp_extract_all(answer, '(?i)\\boxed\s*\{{\s*([A-D])\s*\}}', 1) AS bx, regexp_extract_all(answer, '(?i)(?:answer|option|choice)\s*(?:is|:)?\s*[\(\[]?\s*([A-D])\b', 1) AS sd FROM a)
-      SELECT doc_id, upper(bx[-1]) AS boxed, coalesce(upper(bx[-1]), upper(sd[-1])) AS choice, CASE WHEN contains(answer, '####') THEN replace(regexp_extract(split_part(answer, '####', -1), '-?[0-9][0-9,]*(?:\.[0-9]+)?', 0), ',', '') END AS number,
-      contains(answer, '</think>') AS think_closed, CASE WHEN starts_with(answer, '<think>') AND contains(answer, '</think>') THEN substr(answer, 1, instr(answer, '</think>') + 7) ELSE '' END AS thinking FROM b""")
+@query(rf"""WITH a AS (SELECT doc_id, {_ANSWER_SQL} AS answer FROM documents), b AS (SELECT *, regexp_extract_all(answer, '(?i)\\boxed\s*\{{\s*([A-D])\s*\}}', 1) AS bx, regexp_extract_all(answer, '(?i)(?:final\s+answer|answer|option|choice)\s*(?:is|:)?\s*[*\\(\[]*([A-D])\b', 1) AS sd FROM a)
+      SELECT doc_id, upper(bx[-1]) AS boxed, coalesce(upper(bx[-1]), upper(sd[-1])) AS choice, CASE WHEN contains(answer, '####') THEN replace(regexp_extract(split_part(answer, '####', -1), '[-+]?\d+(?:,\d{{3}})*(?:\.\d+)?(?:/\d+)?', 0), ',', '') END AS number,
+      contains(answer, '</think>') AS think_closed, CASE WHEN starts_with(answer, '<think>') THEN '<think>' ELSE '' END AS thinking, CASE WHEN starts_with(answer, '<think>') THEN substr(answer, 8) ELSE answer END AS rest FROM b""")
 def answer_extraction(spark, sf_dir):
     """Choices, numbers and thinking of answers."""
     a = F.col("answer")
     return _answers(spark, sf_dir).select(
-        "doc_id", text.boxed_choice(a).alias("boxed"), text.choice(a).alias("choice"), text.numeric_answer(a).alias("number"), a.contains(text.END_THINK).alias("think_closed"), text.think_prefix(a).alias("thinking")
+        "doc_id", text.boxed_choice(a).alias("boxed"), text.choice(a).alias("choice"), text.numeric_answer(a, strict=False).alias("number"), a.contains(text.END_THINK).alias("think_closed"),
+        text.think_split(a)["prefix"].alias("thinking"), text.think_split(a)["rest"].alias("rest"),
     )
 
 
 @query(rf"""WITH a AS (SELECT doc_id, source, {_ANSWER_SQL} AS answer, chr((65 + (doc_id // 3) % 4)::INT) AS gold FROM documents),
-      b AS (SELECT source, gold, coalesce(upper(regexp_extract_all(answer, '(?i)\\boxed\s*\{{\s*([A-D])\s*\}}', 1)[-1]), upper(regexp_extract_all(answer, '(?i)(?:answer|option|choice)\s*(?:is|:)?\s*[\(\[]?\s*([A-D])\b', 1)[-1])) AS c FROM a)
+      b AS (SELECT source, gold, coalesce(upper(regexp_extract_all(answer, '(?i)\\boxed\s*\{{\s*([A-D])\s*\}}', 1)[-1]), upper(regexp_extract_all(answer, '(?i)(?:final\s+answer|answer|option|choice)\s*(?:is|:)?\s*[*\\(\[]*([A-D])\b', 1)[-1])) AS c FROM a)
       SELECT source, count(*)::BIGINT AS n, count(c)::BIGINT AS parsed, count(*) FILTER (c = gold)::BIGINT AS correct, round(count(*) FILTER (c = gold) / count(*)::DOUBLE, 9) AS accuracy, round(count(c) / count(*)::DOUBLE, 9) AS parse_rate FROM b GROUP BY source""")
 def answer_accuracy(spark, sf_dir):
     """Accuracy and parse rate by source; an answer without a choice is wrong."""
@@ -519,7 +519,7 @@ def parsed_names(spark, sf_dir):
     """Parts of metrics directory names, and short model names."""
     end = F.when(F.col("doc_id") % 3 == 0, "_control_lr1e-4_e").when(F.col("doc_id") % 3 == 1, "_ads_sup_lr5e-5_e").otherwise("-bad-")
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", end, (F.col("doc_id") % 4).cast("string")).alias("d"))
-    return d.select("doc_id", text.metrics_dir_parts(F.col("d")).alias("x"), text.model_short_name(F.col("d")).alias("short")).select("doc_id", "x.*", "short")
+    return d.select("doc_id", names.metrics_dir_parts(F.col("d")).alias("x"), text.model_short_name(F.col("d")).alias("short")).select("doc_id", "x.*", "short")
 
 
 @query(f"""WITH m AS (SELECT source, lang, count(*)::BIGINT AS n, avg((n_chars % 7 < 4)::INT) AS mean FROM documents GROUP BY 1, 2), r AS (SELECT *, {_hoeffding('mean', 'n')} AS p FROM m),
