@@ -75,15 +75,15 @@ def published(traces: DataFrame) -> DataFrame:
     return one.select("response", "solution", "prompt", "messages")
 
 
-def gold_rows(rows: DataFrame) -> DataFrame:
-    """(prompt, response, solution) from (messages, gold): the last message must be an assistant's and the choice one of four."""
+def gold_rows(rows: DataFrame, *carried: str) -> DataFrame:
+    """(carried..., prompt, response, solution) from (messages, gold): the last message must be an assistant's and the choice one of four."""
     last = F.try_element_at("messages", F.lit(-1))
     choice = F.upper(F.coalesce("gold", F.lit("")))
     rows = require(rows, F.size("messages") >= 2, "invalid messages")
     rows = require(rows, last["role"] == "assistant", "missing assistant target")
     rows = require(rows, choice.isin(*CHOICES), "invalid gold choice")
     prompt = text.chat_prompt(F.slice("messages", F.lit(1), F.size("messages") - 1))
-    return rows.select(prompt.alias("prompt"), text.without_second_think(prompt, F.coalesce(last["content"], F.lit(""))).alias("response"), F.concat(F.lit("\\boxed{"), choice, F.lit("}")).alias("solution"))
+    return rows.select(*carried, prompt.alias("prompt"), text.without_second_think(prompt, F.coalesce(last["content"], F.lit(""))).alias("response"), F.concat(F.lit("\\boxed{"), choice, F.lit("}")).alias("solution"))
 
 
 def policy_rows(rows: DataFrame, split: str, source: str, environment: str = "aime", expected: int | None = None) -> DataFrame:

@@ -254,7 +254,7 @@ def first_good_reply(spark, sf_dir):
 
 # --- answers, pairs, coverage ----------------------------------------------------------------------------------
 
-_ANSWER_SQL = """CASE doc_id % 6 WHEN 0 THEN 'so \\boxed{' || chr((65 + doc_id % 4)::INT) || '}' WHEN 1 THEN 'first \\boxed{A}; final \\boxed{ ' || chr((97 + doc_id % 4)::INT) || ' }'
+_ANSWER_SQL = r"""CASE doc_id % 6 WHEN 0 THEN 'so \boxed{' || chr((65 + doc_id % 4)::INT) || '}' WHEN 1 THEN 'first \boxed{A}; final \boxed{ ' || chr((97 + doc_id % 4)::INT) || ' }'
       WHEN 2 THEN ['The final answer is ', 'Final answer: **(', 'the option [', 'answer: \('][1 + doc_id // 6 % 4] || chr((65 + doc_id % 4)::INT) || '.' WHEN 3 THEN '<think>hm</think> 12 #### ' || ['+1,', '-3/', '1,2 ', ''][1 + doc_id // 6 % 4] || (100 + doc_id % 900) || '.5 km' WHEN 4 THEN '<think>option is B' ELSE 'no idea' END"""
 
 
