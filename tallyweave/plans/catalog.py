@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from tallyweave.functions import keyed_hash, names, stats, text
 from tallyweave.operators import evaluation, masking, pairs, scoring, split, tokens, traces, trees
 from tallyweave.session import table
+from tallyweave.sources import jsonl
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -538,9 +539,10 @@ def metric_reverification(spark, sf_dir):
 def torn_tail_prefix(spark, sf_dir):
     """Lines before a text's first bad one, where a length that nine divides stands for a torn line."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    bad = F.min(F.when(F.length("line") % 9 == 0, F.col("i"))).over(Window.partitionBy("doc_id"))
-    lines = lines.withColumn("first_bad", bad)
-    return lines.groupBy("doc_id").agg(F.count_if(F.trim("line") != "").alias("non_blank"), F.count_if(F.col("first_bad").isNull() | (F.col("i") < F.col("first_bad"))).alias("prefix"))
+    lines = lines.withColumn("j", F.when(F.length("line") % 9 == 0, '{"x": 1').otherwise('{"x": 1}'))
+    kept = jsonl.valid_prefix(lines, "x int", "doc_id", "i", "j").groupBy("doc_id").agg(F.count("*").alias("kept"))
+    non_blank = lines.groupBy("doc_id").agg(F.count_if(F.trim("line") != "").alias("non_blank"))
+    return non_blank.join(kept, "doc_id", "left").select("doc_id", "non_blank", F.coalesce("kept", F.lit(0)).alias("prefix"))
 
 
 @query("""WITH m AS (SELECT source, CASE WHEN doc_id % 2 = 0 THEN 'control_unsupervised' ELSE 'ads' END AS method, avg(n_chars) AS metric FROM documents GROUP BY 1, 2), t AS (SELECT source, lang AS kind, avg(doc_id) AS score FROM documents WHERE lang IN ('en', 'de') GROUP BY 1, 2)
@@ -557,12 +559,12 @@ def metrics_with_teacher(spark, sf_dir):
 # --- validation and rows for training ------------------------------------------------------------------------------
 
 
-@query("""WITH m AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS rs, list(text ORDER BY turn, role, text) AS ts FROM conversations WHERE turn < 2 + conv_id % 2 GROUP BY conv_id),
+@query("""WITH m AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS rs, list(text ORDER BY turn, role, text) AS ts FROM conversations GROUP BY conv_id),
       r AS (SELECT conv_id, CASE WHEN len(rs) <> 2 OR rs[1] <> 'user' OR rs[2] <> 'assistant' OR trim(ts[1]) = '' OR trim(ts[2]) = '' THEN 'invalid_messages' WHEN contains(ts[2], 'ou') AND NOT contains(ts[2], 'en') THEN 'incomplete_thinking_trace' WHEN length(ts[2]) % 4 = 0 THEN 'missing_boxed_choice' ELSE 'valid' END AS reason FROM m)
       SELECT reason, count(*)::BIGINT AS n, min(conv_id) AS first FROM r GROUP BY reason""")
 def message_validation(spark, sf_dir):
     """The first rule that each conversation breaks, counted."""
-    m = table(spark, sf_dir, "conversations").where("turn < 2 + conv_id % 2").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    m = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     said = lambda i: F.get("t", F.lit(i))["text"]
     role = lambda i: F.get("t", F.lit(i))["role"]
     invalid = (F.size("t") != 2) | (role(0) != "user") | (role(1) != "assistant") | (F.trim(said(0)) == "") | (F.trim(said(1)) == "")
