@@ -505,6 +505,14 @@ def test_lm_spelling_is_a_distribution():
 # --- 7 quality -----------------------------------------------------------------------------------------------------------------
 
 
+def test_rare_words_with_their_counts_are_a_distribution():
+    spelling, counts = np.log10([0.4, 0.3, 0.2, 0.1]), np.array([5, 1, 1, 0])
+    got = lm.Seldom(3, 7, 2, 0).score(spelling, counts)
+    assert abs((10.0**got).sum() - 1) < 1e-9 and got[0] > got[1] > got[3]
+    assert np.allclose(lm.Seldom(0, 0, 0, 0).score(spelling, np.zeros(4)), spelling)
+    assert np.isfinite(lm.Seldom(3, 7, 2, 0).score(np.array([-5000.0, -5000.0]), np.array([0, 1]))).all()
+
+
 def test_quality_counts(docs, odd, none):
     for df in (docs, odd.drop("N_words")):
         for r in quality.judged(df).collect():
