@@ -482,7 +482,10 @@ def masked_examples(spark, sf_dir):
     return out.select("id", F.col("x.length").cast("long").alias("length"), total("x.input_ids").alias("ids_sum"), total("x.labels").alias("labels_sum"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars::BIGINT AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+      r AS (SELECT source, doc_id, i, 0::BIGINT AS batch, 1::BIGINT AS rows_, x AS longest FROM o WHERE i = 1 UNION ALL SELECT o.source, o.doc_id, o.i, batch + f.ends::INT, CASE WHEN f.ends THEN 1 ELSE rows_ + 1 END, CASE WHEN f.ends THEN x ELSE greatest(longest, x) END
+        FROM r JOIN o ON o.source IS NOT DISTINCT FROM r.source AND o.i = r.i + 1, LATERAL (SELECT rows_ + 1 > 12 OR (rows_ + 1) * greatest(longest, x) > 16384 AS ends) f)
+      SELECT source, batch, count(*)::BIGINT AS n, min(doc_id) AS first FROM r GROUP BY source, batch""")
 def padded_batches(spark, sf_dir):
     """Batches of bounded size and padding, in order, a source."""
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
