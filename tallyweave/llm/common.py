@@ -78,19 +78,25 @@ def _drop_all(spark: SparkSession) -> None:
 _shipped: set[str] = set()
 
 
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="tallyweave-"), "tallyweave.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for at, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    out.write(full := os.path.join(at, name), os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` after sending this package to the executors, which need not have it installed."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _shipped:
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        path = os.path.join(tempfile.mkdtemp(prefix="tallyweave-"), "tallyweave.zip")
-        with zipfile.ZipFile(path, "w") as out:
-            for at, _, names in os.walk(top):
-                for name in names:
-                    if name.endswith(".py"):
-                        out.write(full := os.path.join(at, name), os.path.relpath(full, os.path.dirname(top)))
-        context.addPyFile(path)
-        _shipped.add(context.applicationId)
+    """``df.mapInArrow`` after sending this package to the executors."""
+    shipped(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, chat, embeddings, html, lines, lm, packing, quality, simhash, tokencount
+from tallyweave.llm import bpe, chat, embeddings, html, lines, lm, packing, quality, simhash, spelling, suffix, tokencount
+from tallyweave.llm.oracles import ORACLES  # noqa: F401 - read by the driver contract
 from tallyweave.session import table
 
 
@@ -64,5 +66,21 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op4_embedding_near_dedup, op5_chat_formatting, op6_lm_scoring, op7_quality_rules, op8_html_extraction, op9_token_counts, op10_byte_bpe)}
-ORACLES: dict[str, str] = {}
+def op11_suffix_array_dedup(spark, sf_dir):
+    """All documents without the stretches of 200 bytes that start twice, as counts and a digest."""
+    found = suffix.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", suffix.removed(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    """Spelling variants among the words of all documents."""
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op4_embedding_near_dedup, op5_chat_formatting, op6_lm_scoring, op7_quality_rules,
+        op8_html_extraction, op9_token_counts, op10_byte_bpe, op11_suffix_array_dedup, op12_spelling_variants,
+    )
+}
