@@ -3,8 +3,8 @@
 ORACLES: dict[str, str] = {
     # all windows of 200 bytes, by their hex digits
     "op11_suffix_array_dedup": """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents), s AS (SELECT *, len(t) // 2 AS n FROM d),
-      tiles AS (SELECT r, at, substr(t, 2 * at + 1, 2398) AS x FROM (SELECT r, t, unnest(range(0, n - 199, 1000)) AS at FROM s WHERE n >= 200)),
-      w AS (SELECT r, at + i AS i, md5(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT r, at, x, unnest(range(0, least(1000, len(x) // 2 - 199))) AS i FROM tiles)),
+      tiles AS (SELECT r, since, substr(t, 2 * since + 1, 2398) AS x FROM (SELECT r, t, unnest(range(0, n - 199, 1000)) AS since FROM s WHERE n >= 200)),
+      w AS (SELECT r, since + i AS i, md5(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT r, since, x, unnest(range(0, least(1000, len(x) // 2 - 199))) AS i FROM tiles)),
       twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1), hit AS (SELECT r, i FROM w JOIN twice USING (k)),
       g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM hit),
       q AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM g),
