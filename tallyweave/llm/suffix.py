@@ -35,8 +35,9 @@ from tallyweave.llm.common import dropped, if_small, map_arrow, shipped, written
 #: Bytes of a stretch, and of an anchor; places of an anchor within its stretch.
 LENGTH, GRAM = 200, 32
 PLACES = LENGTH - GRAM + 1
-#: Different contexts of an anchor from which it is subdivided, pieces then, and strings in a bucket.
-MOST, PIECES, BUCKET = 4000, 13, 20_000
+#: Strings in a bucket; different contexts of an anchor, which fill one by themselves, from which it is subdivided; pieces then.
+BUCKET = MOST = 20_000
+PIECES = 13
 #: Bytes that are hashed at once; a place within them fits in so many bits.
 _CHUNK, _BITS = 1 << 17, 20
 _MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
