@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.common import dropped, written
 
-#: Runs that are words, and the capitals that are lower-cased.
-RUN = r"[A-Za-zÀ-ÿ]+"
+#: The capitals that are lower-cased.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One run in so many loses a code point; least code points and occurrences of a word; how many times as common a form is.
 SPOILT, LEAST_CHARS, LEAST_COUNT, TIMES = 199, 6, 5, 5
+#: Maximal runs of letters that are long enough.
+RUN = rf"[A-Za-zÀ-ÿ]{{{LEAST_CHARS},}}+"
 #: Words in a block from which it is subdivided.
-MOST = 48
+MOST = 24
 
 
 def spoilt(id_: Column, run: Column) -> Column:
@@ -36,7 +37,7 @@ def spoilt(id_: Column, run: Column) -> Column:
 def dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, n long) of the words of all texts that are long and frequent enough."""
     runs = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(RUN), F.lit(0))).alias("run"))
-    found = runs.select("id", F.translate("run", _UPPER, _LOWER).alias("run")).where(F.length("run") >= LEAST_CHARS)
+    found = runs.select("id", F.translate("run", _UPPER, _LOWER).alias("run"))
     found = found.select(spoilt(F.col("id"), F.col("run")).alias("word")).where(F.length("word") >= LEAST_CHARS)
     return found.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
