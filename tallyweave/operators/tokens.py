@@ -55,12 +55,37 @@ def ngram_counts(arrays: DataFrame, n: int) -> DataFrame:
     return long.select("id", count.cast("long").alias("n"), F.size(contexts).cast("long").alias("contexts"), F.size(pairs).cast("long").alias("pairs"))
 
 
+#: Bits of the integer types.
+_BITS = {"byte": 8, "short": 16, "integer": 32, "long": 64}
+
+
+def packed_order(df: DataFrame, order: list[str]) -> Column:
+    """One decimal that orders rows as the integer columns ``order`` do, nulls first; a struct where 38 digits are too few.
+
+    Aggregates by a number are hashed; by a struct all rows are sorted before they are combined.
+    """
+    bits = [_BITS.get(df.schema[c].dataType.typeName()) for c in order]
+    if None in bits or sum(bits) > 124:
+        return F.struct(*order)
+    place = None
+    for c, b in zip(order, bits, strict=True):
+        own = F.coalesce(F.col(c), F.lit(-(1 << (b - 1))).cast(df.schema[c].dataType)).cast("decimal(20,0)")
+        place = own if place is None else place * F.lit(str(1 << b)).cast(f"decimal({len(str(1 << b))},0)") + own
+    return place
+
+
 def first_occurrence(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The values of each key's first row by ``order``, combined before the shuffle."""
-    place = F.struct(*order)
+    place = packed_order(df, order)
     return df.groupBy(*keys).agg(*(F.min_by(v, place).alias(v) for v in values), F.count("*").alias("times"))
 
 
+def shard_order(id_: Column, world: int) -> Column:
+    """One integer that orders rows dealt round robin by rank, then local place; ids from 0 on."""
+    rank, place = shard(id_, world)
+    return (rank * F.lit((1 << 63) // world if world > 1 else 1) + place).cast("long")
+
+
 def shard(id_: Column, world: int) -> tuple[Column, Column]:
     """Rank and local place of a row dealt round robin."""
     return id_ % world, F.floor(id_ / world).cast("long")

@@ -14,12 +14,12 @@ from pyspark.sql.window import Window
 
 from tallyweave.functions import keyed_hash, names, stats, text
 from tallyweave.operators import evaluation, masking, pairs, scoring, split, tokens, traces, trees
+from tallyweave.plans.sql_parts import BIGRAMS, HIT, ID, KEY, TOKENS, hash_steps, hoeffding  # noqa: F401 - some are for other catalogs
 from tallyweave.session import table
 from tallyweave.sources import jsonl
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-KEY = keyed_hash.HashKey()
 
 
 def query(sql: str | None = None) -> Callable:
@@ -34,59 +34,24 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-# --- SQL parts ---------------------------------------------------------------------------------------------
-
-
-def _wrap(x: str) -> str:
-    """SQL: a 128-bit integer as a wrapped signed 64-bit one."""
-    m = f"(((({x}) % 18446744073709551616::HUGEINT) + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT)"
-    return f"(CASE WHEN {m} >= 9223372036854775808::HUGEINT THEN {m} - 18446744073709551616::HUGEINT ELSE {m} END)::BIGINT"
-
-
-def _hash_steps(source: str, columns: str) -> str:
-    """SQL: common table expressions that add ``x``, the 63-bit hash of (prev, cur, token), to ``source``."""
-    mul = lambda a, m: _wrap(f"{a}::HUGEINT * {m}::HUGEINT")
-    return f"""
-      k1 AS (SELECT {columns}, xor(xor(xor({mul('token', keyed_hash.M1)}, {mul('prev', keyed_hash.M2)}), {mul('cur', keyed_hash.M3)}), {KEY.seed}) AS x FROM {source}),
-      k2 AS (SELECT * REPLACE (xor(x, x >> 30) AS x) FROM k1), k3 AS (SELECT * REPLACE ({mul('x', keyed_hash.M2)} AS x) FROM k2),
-      k4 AS (SELECT * REPLACE (xor(x, x >> 27) AS x) FROM k3), k5 AS (SELECT * REPLACE ({mul('x', keyed_hash.M3)} AS x) FROM k4),
-      hashed AS (SELECT * REPLACE (xor(x, x >> 31) & 9223372036854775807 AS x) FROM k5)"""
-
-
-_ID = "(('0x' || substr(md5({w}), 1, 15))::BIGINT % 151936)"
-_TOKENS = f"""
-      words AS (SELECT doc_id AS id, string_split(lower(text), ' ') AS ws FROM documents),
-      places AS (SELECT id, ws, unnest(range(len(ws))) AS pos FROM words),
-      toks AS (SELECT id, pos, {_ID.format(w="ws[pos + 1]")} AS token FROM places)"""
-_BIGRAMS = f"""{_TOKENS},
-      grams AS (SELECT * FROM (SELECT id, pos, coalesce(lag(token) OVER (PARTITION BY id ORDER BY pos), -1) AS prev, token AS cur,
-        lead(token) OVER (PARTITION BY id ORDER BY pos) AS token FROM toks) WHERE token IS NOT NULL)"""
-_HIT = "x < 4611686018427387648"
-
-
-def _hoeffding(mean: str, n: str, gamma: str = "0.5") -> str:
-    return f"CASE WHEN {n} <= 0 OR {mean} <= {gamma} THEN 1.0::DOUBLE ELSE greatest(1e-300::DOUBLE, exp(-2 * {n} * ({mean} - {gamma}) * ({mean} - {gamma}))) END"
-
-
 # --- the keyed-hash signal test ------------------------------------------------------------------------------
 
 
 def _first_hits(spark, sf_dir, world: int = 1):
     """First occurrence of each context in shard order, with its membership."""
     grams = tokens.bigrams(tokens.token_arrays(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    rank, place = tokens.shard(F.col("id"), world)
-    first = tokens.first_occurrence(grams.withColumns({"rank": rank, "place": place}), ["prev", "cur"], ["rank", "place", "pos"], ["token"])
+    first = tokens.first_occurrence(grams.withColumn("place", tokens.shard_order(F.col("id"), world)), ["prev", "cur"], ["place", "pos"], ["token"])
     return keyed_hash.with_hash(first, "prev", "cur", "token", KEY).withColumn("hit", keyed_hash.in_set(F.col("x"), KEY))
 
 
 def _first_sql(world: int) -> str:
-    return f"""{_BIGRAMS},
+    return f"""{BIGRAMS},
       firsts AS (SELECT prev, cur, arg_min(token, (id % {world}, id // {world}, pos)) AS token, count(*) AS times FROM grams GROUP BY prev, cur),
-      {_hash_steps('firsts', 'prev, cur, token, times')}"""
+      {hash_steps('firsts', 'prev, cur, token, times')}"""
 
 
-@query(f"""WITH {_first_sql(1)}, s AS (SELECT count(*)::BIGINT AS n, count(*) FILTER ({_HIT})::BIGINT AS hits FROM hashed)
-      SELECT n, hits, round(hits / n::DOUBLE, 9) AS mean, round({_hoeffding('(hits / n::DOUBLE)', 'n')}, 9) AS p_value, {_hoeffding('(hits / n::DOUBLE)', 'n')} < 0.05 AS detected FROM s""")
+@query(f"""WITH {_first_sql(1)}, s AS (SELECT count(*)::BIGINT AS n, count(*) FILTER ({HIT})::BIGINT AS hits FROM hashed)
+      SELECT n, hits, round(hits / n::DOUBLE, 9) AS mean, round({hoeffding('(hits / n::DOUBLE)', 'n')}, 9) AS p_value, {hoeffding('(hits / n::DOUBLE)', 'n')} < 0.05 AS detected FROM s""")
 def signal_test(spark, sf_dir):
     """Distinct contexts, hits among their first next tokens, and the one-sided tail."""
     s = _first_hits(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
@@ -94,15 +59,15 @@ def signal_test(spark, sf_dir):
     return s.select("n", "hits", F.round(F.col("hits") / F.col("n"), 9).alias("mean"), F.round(p, 9).alias("p_value"), (p < 0.05).alias("detected"))
 
 
-@query(f"""WITH {_first_sql(3)} SELECT (cur % 10)::BIGINT AS cell, count(*)::BIGINT AS n, count(*) FILTER ({_HIT})::BIGINT AS hits, sum(times)::BIGINT AS positions FROM hashed GROUP BY 1""")
+@query(f"""WITH {_first_sql(3)} SELECT (cur % 10)::BIGINT AS cell, count(*)::BIGINT AS n, count(*) FILTER ({HIT})::BIGINT AS hits, sum(times)::BIGINT AS positions FROM hashed GROUP BY 1""")
 def signal_by_cell_world3(spark, sf_dir):
     """Hits by cell of the context, first occurrences in the order of three shards."""
     found = _first_hits(spark, sf_dir, 3).groupBy((F.col("cur") % 10).alias("cell"))
     return found.agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.sum("times").alias("positions"))
 
 
-@query(f"""WITH {_BIGRAMS}, {_hash_steps('grams', 'id, pos, prev, cur, token')}
-      SELECT id, count(*)::BIGINT AS n, count(*) FILTER ({_HIT})::BIGINT AS hits, bit_xor(x)::BIGINT AS checksum FROM hashed GROUP BY id""")
+@query(f"""WITH {BIGRAMS}, {hash_steps('grams', 'id, pos, prev, cur, token')}
+      SELECT id, count(*)::BIGINT AS n, count(*) FILTER ({HIT})::BIGINT AS hits, bit_xor(x)::BIGINT AS checksum FROM hashed GROUP BY id""")
 def keyed_hash_positions(spark, sf_dir):
     """The hash at every position, as counts and a checksum a document."""
     grams = tokens.bigrams(tokens.token_arrays(table(spark, sf_dir, "documents"), "doc_id", "text"))
@@ -110,9 +75,9 @@ def keyed_hash_positions(spark, sf_dir):
     return hashed.groupBy("id").agg(F.count("*").alias("n"), F.count_if(keyed_hash.in_set(F.col("x"), KEY)).alias("hits"), F.bit_xor("x").alias("checksum"))
 
 
-@query(f"""WITH {_BIGRAMS}, g AS (SELECT * FROM grams WHERE cur % 7 <> 0), {_hash_steps('g', 'id, pos, prev, cur, token')},
+@query(f"""WITH {BIGRAMS}, g AS (SELECT * FROM grams WHERE cur % 7 <> 0), {hash_steps('g', 'id, pos, prev, cur, token')},
       s AS (SELECT source, count(*)::BIGINT AS n, count(*) FILTER (x::DOUBLE / 9223372036854775808.0::DOUBLE < 0.37 AND token NOT IN (0, 1, 2))::BIGINT AS hits FROM hashed JOIN documents ON id = doc_id GROUP BY source)
-      SELECT source, n, hits, round({_hoeffding('(hits / n::DOUBLE)', 'n', '0.37')}, 9) AS p_value FROM s""")
+      SELECT source, n, hits, round({hoeffding('(hits / n::DOUBLE)', 'n', '0.37')}, 9) AS p_value FROM s""")
 def closed_mode_by_source(spark, sf_dir):
     """Hits of the observed next token outside gamma one half, for contexts of the shared vocabulary, by source."""
     key = keyed_hash.HashKey(gamma=0.37)
@@ -123,7 +88,7 @@ def closed_mode_by_source(spark, sf_dir):
     return s.select("source", "n", "hits", F.round(stats.hoeffding(F.col("hits") / F.col("n"), F.col("n"), 0.37), 9).alias("p_value"))
 
 
-@query(f"""WITH {_TOKENS}, seqs AS (SELECT id, list(token ORDER BY pos) AS t FROM toks GROUP BY id),
+@query(f"""WITH {TOKENS}, seqs AS (SELECT id, list(token ORDER BY pos) AS t FROM toks GROUP BY id),
       grams AS (SELECT id, t, unnest(range(4, len(t))) AS pos FROM seqs WHERE len(t) > 4),
       n AS (SELECT id, t[pos - 2 : pos] AS context, t[pos + 1] AS target FROM grams)
       SELECT id, count(*)::BIGINT AS n, count(DISTINCT context)::BIGINT AS contexts, count(DISTINCT (context, target))::BIGINT AS pairs, round(1 - count(DISTINCT context) / count(*)::DOUBLE, 9) AS repeated FROM n GROUP BY id""")
@@ -133,7 +98,7 @@ def corpus_ngrams(spark, sf_dir):
     return tokens.ngram_counts(a, 3).select("id", "n", "contexts", "pairs", F.round(1 - F.col("contexts") / F.col("n"), 9).alias("repeated"))
 
 
-@query(f"""WITH {_TOKENS}, seqs AS (SELECT id, list(token ORDER BY pos) AS t FROM toks GROUP BY id),
+@query(f"""WITH {TOKENS}, seqs AS (SELECT id, list(token ORDER BY pos) AS t FROM toks GROUP BY id),
       grams AS (SELECT id, t, unnest(range(5, len(t))) AS pos FROM seqs WHERE len(t) > 5)
       SELECT id, min(pos)::BIGINT AS first, count(*)::BIGINT AS n, sum(t[pos + 1])::BIGINT AS targets FROM grams GROUP BY id""")
 def response_ngrams(spark, sf_dir):
@@ -407,7 +372,7 @@ def tilt_and_choice(spark, sf_dir):
 
 
 @query(f"""WITH p AS (SELECT *, {_P} AS p, {_G} AS g, l_partkey % 3 <> 0 AS shared FROM lineitem), o AS (SELECT l_orderkey, sum(CASE WHEN shared AND g THEN p ELSE 0 END) AS a, sum(CASE WHEN shared THEN p ELSE 0 END) AS b, ln(sum(exp(l_tax * 10))) - sum(exp(l_tax * 10) * l_tax * 10) / sum(exp(l_tax * 10)) AS entropy FROM p GROUP BY l_orderkey)
-      SELECT count(*)::BIGINT AS positions, count(*) FILTER (b = 0)::BIGINT AS undefined, round(avg(CASE WHEN b > 0 THEN a / b END), 9) AS mean_open, round(avg(entropy), 9) AS mean_entropy, round({_hoeffding('avg(CASE WHEN b > 0 THEN a / b END)', 'count(*) FILTER (b > 0)')}, 9) AS p_value FROM o""")
+      SELECT count(*)::BIGINT AS positions, count(*) FILTER (b = 0)::BIGINT AS undefined, round(avg(CASE WHEN b > 0 THEN a / b END), 9) AS mean_open, round(avg(entropy), 9) AS mean_entropy, round({hoeffding('avg(CASE WHEN b > 0 THEN a / b END)', 'count(*) FILTER (b > 0)')}, 9) AS p_value FROM o""")
 def open_mode(spark, sf_dir):
     """Mean share of the set in the shared mass over positions, mean entropy, and the tail."""
     logit = F.col("l_tax") * 10
@@ -470,7 +435,7 @@ def fused_scores(spark, sf_dir):
     return lines.groupBy("l_orderkey").agg(F.round(F.sum(fused), 6).alias("fused"), F.round(F.sum(reward), 6).alias("reward"))
 
 
-@query(f"""WITH {_TOKENS}, seqs AS (SELECT id, list(token ORDER BY pos) AS t FROM toks GROUP BY id), e AS (SELECT id, least(len(t), 5) AS k, t || CASE WHEN t[-1] = 2 OR len(t) <= 5 AND false THEN [] ELSE [2::BIGINT] END AS a FROM seqs), c AS (SELECT id, k, a[1:64] AS ids FROM e)
+@query(f"""WITH {TOKENS}, seqs AS (SELECT id, list(token ORDER BY pos) AS t FROM toks GROUP BY id), e AS (SELECT id, least(len(t), 5) AS k, t || CASE WHEN t[-1] = 2 OR len(t) <= 5 AND false THEN [] ELSE [2::BIGINT] END AS a FROM seqs), c AS (SELECT id, k, a[1:64] AS ids FROM e)
       SELECT id, len(ids)::BIGINT AS length, list_sum(ids)::BIGINT AS ids_sum, list_sum([CASE WHEN i <= k THEN -100 ELSE ids[i] END for i in range(1, len(ids) + 1)])::BIGINT AS labels_sum FROM c""")
 def masked_examples(spark, sf_dir):
     """Training rows of at most 64 ids, the first five a prompt whose labels are hidden."""
@@ -526,7 +491,7 @@ def parsed_names(spark, sf_dir):
     return d.select("doc_id", names.metrics_dir_parts(F.col("d")).alias("x"), text.model_short_name(F.col("d")).alias("short")).select("doc_id", "x.*", "short")
 
 
-@query(f"""WITH m AS (SELECT source, lang, count(*)::BIGINT AS n, avg((n_chars % 7 < 4)::INT) AS mean FROM documents GROUP BY 1, 2), r AS (SELECT *, {_hoeffding('mean', 'n')} AS p FROM m),
+@query(f"""WITH m AS (SELECT source, lang, count(*)::BIGINT AS n, avg((n_chars % 7 < 4)::INT) AS mean FROM documents GROUP BY 1, 2), r AS (SELECT *, {hoeffding('mean', 'n')} AS p FROM m),
       c AS (SELECT *, p * CASE WHEN lang = 'fr' THEN 1.001 ELSE 1 END AS recorded FROM r)
       SELECT source, count(*)::BIGINT AS n, bool_and(abs(recorded - p) <= greatest(1e-12 * greatest(abs(recorded), abs(p)), 1e-12)) AS all_agree, count(*) FILTER (p < 0.05)::BIGINT AS detected FROM c GROUP BY source""")
 def metric_reverification(spark, sf_dir):

@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from tallyweave.functions import names, stats, text
 from tallyweave.operators import evaluation, traces, trees
-from tallyweave.plans.catalog import _ID, _hoeffding, query
+from tallyweave.plans.catalog import query
+from tallyweave.plans.sql_parts import ID, hoeffding
 from tallyweave.session import table
 
 # --- trace rows ------------------------------------------------------------------------------------------------
@@ -77,7 +78,7 @@ def policy_training_rows(spark, sf_dir):
     return out.select(F.col("extra_info.index").alias("idx"), "data_source", "env_class", "reward_model.style", "reward_model.ground_truth", "extra_info.split", "extra_info.gold_choice", "extra_info.prompt_sha256", F.size("prompt").cast("long").alias("prompt_messages"))
 
 
-@query(f"""WITH a AS (SELECT doc_id, list_transform(string_split(coalesce(lang, ''), ' ') || string_split(coalesce(source, ''), ' '), lambda w: {_ID.format(w="w")}) AS p, list_transform(string_split(text, ' '), lambda w: {_ID.format(w="w")}) AS r FROM documents),
+@query(f"""WITH a AS (SELECT doc_id, list_transform(string_split(coalesce(lang, ''), ' ') || string_split(coalesce(source, ''), ' '), lambda w: {ID.format(w="w")}) AS p, list_transform(string_split(text, ' '), lambda w: {ID.format(w="w")}) AS r FROM documents),
       b AS (SELECT doc_id, p, r, (p || CASE WHEN r[-1] = 7 THEN r ELSE r || [7::BIGINT] END)[1:64] AS ids FROM a)
       SELECT doc_id, array_to_string(ids, ' ') AS ids, least(len(p), len(ids))::BIGINT AS response_start, array_to_string((p || r)[1:32], ' ') AS nll_ids, array_to_string((list_transform(p, lambda x: -100::BIGINT) || r)[1:32], ' ') AS nll_labels FROM b""")
 def encoded_traces(spark, sf_dir):
@@ -172,7 +173,7 @@ def utility_gate(spark, sf_dir):
     return out.withColumns({"gain": F.round("gain", 9), "p_value": F.round("p_value", 6)})
 
 
-@query(f"""WITH m AS (SELECT source, lang, count(*)::BIGINT AS num_measurements, avg((n_chars % 7 < 4)::INT) AS mean FROM documents GROUP BY 1, 2), r AS (SELECT *, {_hoeffding('mean', 'num_measurements')} AS expected FROM m),
+@query(f"""WITH m AS (SELECT source, lang, count(*)::BIGINT AS num_measurements, avg((n_chars % 7 < 4)::INT) AS mean FROM documents GROUP BY 1, 2), r AS (SELECT *, {hoeffding('mean', 'num_measurements')} AS expected FROM m),
       c AS (SELECT *, expected * CASE WHEN lang = 'fr' THEN 1.001 ELSE 1 END AS p_value, expected < 0.05 AS detects FROM r), v AS (SELECT *, detects <> (lang = 'es') AS detected FROM c)
       SELECT source, lang, num_measurements, round(expected, 9) AS expected, detects, abs(p_value - expected) <= greatest(1e-12 * greatest(abs(p_value), abs(expected)), 1e-12) AND detected = detects AS agrees FROM v""")
 def recomputed_metrics(spark, sf_dir):
