@@ -6,8 +6,8 @@ import json
 from pathlib import Path
 
 from jobs import signal_report, trace_intake
-from jobs.common import new_folder
 from tallyweave.plans.sql_parts import BIGRAMS, HIT, hash_steps, hoeffding
+from tallyweave.session import new_path
 
 
 def settings(name: str) -> dict:
@@ -17,7 +17,7 @@ def settings(name: str) -> dict:
 
 def job1_trace_intake(spark, sf_dir):
     """All documents as traces, taken in by two runs of the incremental job; the second finds nothing new."""
-    to = new_folder(spark, "trace_intake")
+    to = new_path(spark, "trace_intake")
     for _ in range(2):
         trace_intake.run(spark, f"{sf_dir}/documents.parquet", f"{to}/traces", f"{to}/checkpoint", settings("trace_intake"))
     return trace_intake.output(spark, f"{to}/traces")
@@ -25,7 +25,7 @@ def job1_trace_intake(spark, sf_dir):
 
 def job2_signal_report(spark, sf_dir):
     """The signal in all documents by source, for three seeds; the second run replaces what the first wrote."""
-    to = new_folder(spark, "signal_report")
+    to = new_path(spark, "signal_report")
     for _ in range(2):
         signal_report.run(spark, f"{sf_dir}/documents.parquet", f"{to}/report", settings("signal_report"))
     return signal_report.output(spark, f"{to}/report")

@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobs.common import main, merged, settings_of
+from jobs.common import main, merged
 from tallyweave.functions.text import hash_bucket, stable_hash
 from tallyweave.operators.split import trace_id
+from tallyweave.streaming.sink import append_batches, table
 
 log = logging.getLogger("trace_intake")
 
@@ -82,31 +83,28 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, settings
     """Take what is new in ``source``; returns when the stream has ended."""
     settings = merged(DEFAULTS, settings)
 
-    def one(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        before = own.createDataFrame([], "trace string, prompt_sha256 string")
-        if number:
-            before = own.read.schema(COLUMNS).parquet(target).where(F.col("batch") < number).where("reason = 'accepted'").select("trace", "prompt_sha256")
-        out = decided(batch, before, settings).withColumn("batch", F.lit(number).cast("long"))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "split").parquet(target)
-        counts = own.read.schema(COLUMNS).parquet(target).where(F.col("batch") == number).groupBy("split", "reason").count().orderBy("split", "reason").collect()
+    def wrote(own: SparkSession, number: int) -> None:
+        counts = output(own, target).where(F.col("batch") == number).groupBy("split", "reason").count().orderBy("split", "reason").collect()
         log.info("batch %d of %s to %s: %s", number, source, target, ", ".join(f"{r['split']} {r['reason']} {r['count']}" for r in counts) or "nothing")
 
+    def make(batch: DataFrame, before: DataFrame) -> DataFrame:
+        return decided(batch, before.where("reason = 'accepted'").select("trace", "prompt_sha256"), settings)
+
     source = source.rstrip("/")
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema)
     if settings["files_per_batch"]:
         stream = stream.option("maxFilesPerTrigger", settings["files_per_batch"])
     # as a pattern that matches the source alone: a stream takes folders and patterns, but no single file by its name
-    with settings_of(spark, spark__sql__streaming__stopTimeout="60s"):
-        query = identified(stream.parquet(f"{source[:-1]}[{source[-1]}]"), settings).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
+    rows = identified(stream.parquet(f"{source[:-1]}[{source[-1]}]"), settings)
+    query = append_batches(rows, make, COLUMNS, target, checkpoint, ("split",), wrote)
+    query.awaitTermination()
     log.info("read %s up to the last file there, %d new rows", source, sum(p["numInputRows"] for p in query.recentProgress))
 
 
 def output(spark: SparkSession, target: str) -> DataFrame:
     """The decisions of all batches."""
-    return spark.read.schema(COLUMNS).parquet(target)
+    return table(spark, COLUMNS, target)
 
 
 if __name__ == "__main__":

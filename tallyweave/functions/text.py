@@ -66,8 +66,9 @@ def chatml(messages: Column) -> Column:
 
 
 def chat_prompt(messages: Column) -> Column:
-    """Messages with turn marks, lines joined, ending in an open assistant turn; empty if a role or content is."""
-    bad = F.exists(messages, lambda m: (F.coalesce(m["role"], F.lit("")) == "") | (F.coalesce(m["content"], F.lit("")) == ""))
+    """Messages with turn marks, contents stripped, lines joined, ending in an open assistant turn; empty if a role or what is left of a content is."""
+    messages = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), strip(F.coalesce(m["content"], F.lit(""))).alias("content")))
+    bad = F.exists(messages, lambda m: (F.coalesce(m["role"], F.lit("")) == "") | (m["content"] == ""))
     role = lambda m: F.when(m["role"] == "prompter", "user").otherwise(m["role"])
     lines = F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), role(m), F.lit("\n"), m["content"], F.lit("<|im_end|>")))
     return F.when(bad, "").otherwise(F.concat(F.array_join(lines, "\n"), F.lit("\n<|im_start|>assistant\n")))

@@ -8,19 +8,63 @@ from pyspark.sql import functions as F
 from tallyweave.functions.text import NUL
 
 
-def paired_report(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row about two corpora (idx, prompt_sha, solution, response) joined by index; the right may be a prefix."""
+#: Rows whose digests are joined at once.
+BLOCK = 1 << 16
+
+
+def ordered_digest(rows: DataFrame, order: str, digest: str, out: str) -> DataFrame:
+    """One row: the sha256 of ``digest`` joined by NUL in the order of the index ``order``.
+
+    Of ``BLOCK`` rows at a time; an index over ``BLOCK`` gives the sha256 of the blocks' digests instead, so that no task holds all of them.
+    """
+    joined = lambda k, v: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(v).alias("v")))), lambda x: x["v"]), NUL), 256)
+    blocks = rows.groupBy(F.floor(F.col(order) / BLOCK).alias("block")).agg(joined(order, digest).alias("own"))
+    return blocks.agg(F.when(F.count("*") > 1, joined("block", "own")).otherwise(F.coalesce(F.max("own"), F.sha2(F.lit(""), 256))).alias(out))
+
+
+def paired_report(left: DataFrame, right: DataFrame, right_is_prefix: bool = False) -> DataFrame:
+    """One row about two corpora (idx, prompt_sha, solution, response) paired by index, which counts rows from 0.
+
+    ``problem`` is the first of these that holds, else null: invalid_prefix_sizes (the right has no rows or more) or row_count_mismatch;
+    index_mismatch (an index is in one corpus only; behind the end of a right prefix that is fine); prompt_mismatches; solution_mismatches (where both
+    have one); identical_responses (all are). The digest is that of the right side's prompts.
+    """
     r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
-    both = left.join(r, F.col("idx") == F.col("r_idx"))
-    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "prompt_sha"))), lambda x: x["prompt_sha"]), NUL), 256)
-    return both.agg(
-        F.count("*").alias("paired"),
-        F.count_if(F.col("prompt_sha") != F.col("r_prompt_sha")).alias("prompt_mismatches"),
-        F.count_if(F.col("solution").isNotNull() & F.col("r_solution").isNotNull() & (F.col("solution") != F.col("r_solution"))).alias("solution_mismatches"),
-        F.count_if(F.col("response").eqNullSafe(F.col("r_response"))).alias("same_responses"),
-        F.count_if(~F.col("response").eqNullSafe(F.col("r_response"))).alias("different_responses"),
-        digest.alias("prompts_sha256"),
+    both = left.join(r, F.col("idx") == F.col("r_idx"), "full")
+    pair = F.col("idx").isNotNull() & F.col("r_idx").isNotNull()
+    other_prompt = pair & ~F.col("prompt_sha").eqNullSafe(F.col("r_prompt_sha"))
+    other_solution = pair & F.col("solution").isNotNull() & F.col("r_solution").isNotNull() & (F.col("solution") != F.col("r_solution"))
+    same = F.col("response").eqNullSafe(F.col("r_response"))
+    found = both.agg(
+        F.count("idx").alias("left_rows"),
+        F.count("r_idx").alias("right_rows"),
+        F.count_if(pair).alias("paired"),
+        F.count_if(F.col("idx").isNull()).alias("right_only"),
+        F.min(F.when(F.col("r_idx").isNull(), F.col("idx"))).alias("left_only"),
+        F.count_if(other_prompt).alias("prompt_mismatches"),
+        F.min(F.when(other_prompt, F.col("idx"))).alias("first_prompt_mismatch"),
+        F.count_if(other_solution).alias("solution_mismatches"),
+        F.min(F.when(other_solution, F.col("idx"))).alias("first_solution_mismatch"),
+        F.count_if(pair & same).alias("same_responses"),
+        F.count_if(pair & ~same).alias("different_responses"),
+    )
+    n, m = F.col("left_rows"), F.col("right_rows")
+    sizes = F.when((m == 0) | (n < m), "invalid_prefix_sizes") if right_is_prefix else F.when(n != m, "row_count_mismatch")
+    alone = (F.col("right_only") > 0) | (F.col("left_only") < m if right_is_prefix else F.col("left_only").isNotNull())
+    problem = F.coalesce(
+        sizes,
+        F.when(alone, "index_mismatch").when(F.col("prompt_mismatches") > 0, "prompt_mismatches").when(F.col("solution_mismatches") > 0, "solution_mismatches").when(F.col("same_responses") == m, "identical_responses"),
     )
+    out = found.withColumn("problem", problem).drop("right_only", "left_only")
+    return out.join(F.broadcast(ordered_digest(right, "idx", "prompt_sha", "prompts_sha256")))  # one row each
+
+
+def require_paired(report: DataFrame) -> DataFrame:
+    """The report, or ValueError with its counts if it names a problem."""
+    row = report.first()
+    if row["problem"]:
+        raise ValueError(f"{row['problem']}: {', '.join(f'{k} {v}' for k, v in row.asDict().items() if k not in ('problem', 'prompts_sha256'))}")
+    return report
 
 
 def coverage(rows: DataFrame, index: str, expected: int) -> DataFrame:

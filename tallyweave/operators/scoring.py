@@ -13,6 +13,23 @@ def nucleus(rows: DataFrame, group: str, p: str, token: str, top_p: float) -> Da
     return rows.withColumn("before", F.sum(p).over(order) - F.col(p)).where(F.col("before") <= top_p)
 
 
+def candidates(rows: DataFrame, group: str, p: str, token: str, top_p: float, first: int = 2) -> tuple[int, DataFrame]:
+    """The least k of ``first``, twice that, ... for which the k most probable tokens of every group have a mass of ``top_p``, or are all its tokens; and the nucleus among them.
+
+    One action for each k. Tokens behind the k-th of their group are dropped by the tasks that read them, before the shuffle; ties by token.
+    """
+    order = Window.partitionBy(group).orderBy(F.desc(p), token)
+    k = first
+    while True:
+        top = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+        mass = top.groupBy(group).agg(F.sum(F.when(F.col("place") <= k, F.col(p))).alias("mass"), F.max("place").alias("n"))
+        if top_p >= 1 or mass.where((F.col("mass") < top_p) & (F.col("n") > k)).isEmpty():
+            break
+        k *= 2
+    kept = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return k, (nucleus(kept, group, p, token, top_p) if top_p < 1 else kept).drop("place")
+
+
 def argmax_first(value: Column, tie: Column, result: Column) -> Column:
     """``result`` of the greatest value; of equal ones that of the least ``tie``."""
     return F.max_by(result, F.struct(value, -tie))

@@ -44,15 +44,22 @@ def ngrams(arrays: DataFrame, n: int, first: int | None = None) -> DataFrame:
     return at.select("id", "pos", F.slice("tokens", F.col("pos") - n + 1, n).alias("context"), F.get("tokens", F.col("pos")).alias("target"))
 
 
+def _different(rows: Column) -> Column:
+    """How many different elements an array has: sorted, equal ones are neighbours."""
+    ordered = F.array_sort(rows)
+    n = F.size(ordered)
+    changes = F.zip_with(F.slice(ordered, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ordered, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.when(a != b, 1))
+    return (F.size(F.array_compact(changes)) + F.when(n > 0, 1).otherwise(0)).cast("long")
+
+
 def ngram_counts(arrays: DataFrame, n: int) -> DataFrame:
     """(id, n, contexts, pairs): by the corpus rule, the targets of each array, and its different contexts of n tokens, alone and with
-    their target; arrays without a target are left out. Counted inside the row, nothing is shuffled."""
+    their target; arrays without a target are left out. Sorted and counted inside the row, nothing is shuffled."""
     long = arrays.where(F.size("tokens") > n + 1)
     count = F.size("tokens") - n - 1
     part = lambda i: F.slice("tokens", F.lit(2 + i), count)
-    contexts = F.array_distinct(F.arrays_zip(*(part(i).alias(f"c{i}") for i in range(n))))
-    pairs = F.array_distinct(F.arrays_zip(*(part(i).alias(f"c{i}") for i in range(n + 1))))
-    return long.select("id", count.cast("long").alias("n"), F.size(contexts).cast("long").alias("contexts"), F.size(pairs).cast("long").alias("pairs"))
+    grams = lambda k: F.arrays_zip(*(part(i).alias(f"c{i}") for i in range(k)))
+    return long.select("id", count.cast("long").alias("n"), _different(grams(n)).alias("contexts"), _different(grams(n + 1)).alias("pairs"))
 
 
 #: Bits of the integer types.

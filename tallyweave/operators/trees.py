@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyweave.functions.text import chat_prompt, strip
 from tallyweave.operators.traces import first_of
+from tallyweave.session import shared_dir
+
 
 def _kept(df: DataFrame) -> DataFrame:
     """``df`` computed into the shared folder, its lineage cut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyweave-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -23,7 +23,8 @@ def message_chains(messages: DataFrame) -> DataFrame:
     """(message_id, depth, path): messages (message_id, parent_id, role, text) with the chain from their root.
 
     One join a level, until a level is empty; ``path`` is an array of (role, content). A message whose parent is
-    missing begins no chain. More levels than messages are a cycle (an id that repeats below itself) and raise.
+    missing begins no chain. More levels than messages are a cycle below a root (an id that
+    repeats below itself) and raise; messages that only lead to each other have no root and are left out.
     """
     one = F.array(F.struct(F.col("role"), F.col("text").alias("content")))
     level = messages.where("parent_id is null").select("message_id", F.lit(0).alias("depth"), one.alias("path"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyweave.functions import keyed_hash, names, stats, text
-from tallyweave.operators import evaluation, masking, pairs, scoring, split, tokens, traces, trees
-from tallyweave.plans.sql_parts import BIGRAMS, HIT, ID, KEY, TOKENS, hash_steps, hoeffding  # noqa: F401 - some are for other catalogs
+from tallyweave.operators import evaluation, indexing, masking, pairs, scoring, split, tokens, traces, trees
+from tallyweave.plans.sql_parts import BIGRAMS, GAMMA_Q, HIT, ID, KEY, TOKENS, hash_steps, hoeffding  # noqa: F401 - some are for other catalogs
 from tallyweave.session import table
 from tallyweave.sources import jsonl
 
@@ -163,14 +163,8 @@ def copies_histogram(spark, sf_dir):
       SELECT lang, f AS fraction, max(CASE WHEN i = round_even((n - 1) * f, 0)::BIGINT THEN n_chars END)::BIGINT AS nearest_rank, round(quantile_cont(n_chars::DOUBLE, f), 6) AS linear FROM r, f GROUP BY lang, f""".replace("quantile_cont(n_chars::DOUBLE, f)", "CASE f WHEN 0.5 THEN quantile_cont(n_chars::DOUBLE, 0.5) WHEN 0.75 THEN quantile_cont(n_chars::DOUBLE, 0.75) WHEN 0.9 THEN quantile_cont(n_chars::DOUBLE, 0.9) ELSE quantile_cont(n_chars::DOUBLE, 0.95) END"))
 def length_percentiles(spark, sf_dir):
     """Nearest-rank (half-even) and linear percentiles of lengths, a language."""
-    w = Window.partitionBy("lang")
-    docs = table(spark, sf_dir, "documents").select("lang", "n_chars")
-    ranked = docs.withColumns({"i": F.row_number().over(w.orderBy("n_chars")) - 1, "n": F.count("*").over(w)})
-    near = ranked.select("*", F.explode(F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95)))).alias("fraction")).where(F.col("i") == F.bround((F.col("n") - 1) * F.col("fraction")))
-    near = near.select("lang", "fraction", F.col("n_chars").alias("nearest_rank"))
-    line = docs.groupBy("lang").agg(F.percentile("n_chars", F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95)))).alias("ps"))
-    line = line.select("lang", F.explode(F.map_from_arrays(F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95))), "ps")).alias("fraction", "linear"))
-    return near.join(line, ["lang", "fraction"]).select("lang", "fraction", "nearest_rank", F.round("linear", 6).alias("linear"))
+    found = indexing.exact_percentiles(table(spark, sf_dir, "documents"), "lang", "n_chars", [0.5, 0.75, 0.9, 0.95])
+    return found.withColumn("linear", F.round("linear", 6))
 
 
 def _messages(spark, sf_dir):
@@ -181,8 +175,8 @@ def _messages(spark, sf_dir):
 
 @query("""WITH m AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS rs, list(text ORDER BY turn, role, text) AS ts FROM conversations GROUP BY conv_id),
       x AS (SELECT conv_id, len(rs) AS n, array_to_string([('<|im_start|>' || rs[i] || chr(10) || ts[i] || '<|im_end|>' || chr(10)) for i in range(1, len(rs) + 1)], '') AS a,
-        array_to_string([('<|im_start|>' || rs[i] || chr(10) || ts[i] || '<|im_end|>') for i in range(1, len(rs) + 1)], chr(10)) || chr(10) || '<|im_start|>assistant' || chr(10) AS b,
-        list_bool_or([(coalesce(rs[i], '') = '' OR coalesce(ts[i], '') = '') for i in range(1, len(rs) + 1)]) AS bad,
+        array_to_string([('<|im_start|>' || rs[i] || chr(10) || trim(ts[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || '<|im_end|>') for i in range(1, len(rs) + 1)], chr(10)) || chr(10) || '<|im_start|>assistant' || chr(10) AS b,
+        list_bool_or([(coalesce(rs[i], '') = '' OR trim(coalesce(ts[i], ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '') for i in range(1, len(rs) + 1)]) AS bad,
         array_to_string([(upper(rs[i][1]) || rs[i][2:] || ': ' || rtrim(ts[i])) for i in range(1, len(rs) + 1) if ts[i] <> ''], chr(10)) || chr(10) || 'Assistant:' AS c FROM m)
       SELECT conv_id, n::BIGINT AS n_turns, md5(a) AS chatml_md5, length(a)::BIGINT AS chatml_chars, md5(CASE WHEN bad THEN '' ELSE b END) AS prompt_md5, md5(c) AS plain_md5 FROM x""")
 def conversation_rendering(spark, sf_dir):
@@ -273,23 +267,42 @@ def paired_answers_test(spark, sf_dir):
     return s.select("n", "improved", "regressed", F.round((F.col("improved") - F.col("regressed")) / F.col("n"), 9).alias("gain"), F.round(stats.mcnemar_tail(F.col("improved"), F.col("regressed")), 6).alias("p_value"))
 
 
-def _corpora(spark, sf_dir):
+_CORPORA_SQL = """a AS (SELECT doc_id AS idx, sha256(source) AS p, lang AS s, text AS r FROM documents), b AS (SELECT idx, CASE WHEN {other} THEN sha256(s) ELSE p END AS p2, CASE WHEN idx % 4 = 0 THEN NULL WHEN {wrong} THEN 'xx' ELSE s END AS s2,
+      CASE WHEN idx % 3 = 0 THEN array_to_string(list_reverse(string_split(r, '')), '') WHEN idx % 11 = 0 THEN NULL ELSE r END AS r2 FROM a WHERE {there}),
+      x AS (SELECT a.*, b.idx AS j, p2, s2, r2, a.idx IS NOT NULL AND b.idx IS NOT NULL AS pair FROM a FULL JOIN b ON a.idx = b.idx),
+      c AS (SELECT count(idx)::BIGINT AS left_rows, count(j)::BIGINT AS right_rows, count(*) FILTER (pair)::BIGINT AS paired, count(*) FILTER (pair AND p <> p2)::BIGINT AS prompt_mismatches, min(CASE WHEN pair AND p <> p2 THEN idx END) AS first_prompt_mismatch,
+        count(*) FILTER (pair AND s <> s2)::BIGINT AS solution_mismatches, min(CASE WHEN pair AND s <> s2 THEN idx END) AS first_solution_mismatch, count(*) FILTER (pair AND r IS NOT DISTINCT FROM r2)::BIGINT AS same_responses,
+        count(*) FILTER (pair AND r IS DISTINCT FROM r2)::BIGINT AS different_responses, count(*) FILTER (idx IS NULL OR j IS NULL AND idx < (SELECT count(*) FROM b)) AS alone FROM x)
+      SELECT * EXCLUDE alone, CASE WHEN {sizes} WHEN alone > 0 THEN 'index_mismatch' WHEN prompt_mismatches > 0 THEN 'prompt_mismatches' WHEN solution_mismatches > 0 THEN 'solution_mismatches' WHEN same_responses = right_rows THEN 'identical_responses' END AS problem,
+        (SELECT sha256(array_to_string(list(p2 ORDER BY idx), chr(0))) FROM b) AS prompts_sha256 FROM c"""
+
+
+def _corpora(spark, sf_dir, other, wrong, there):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.sha2("source", 256).alias("prompt_sha"), F.col("lang").alias("solution"), F.col("text").alias("response"))
-    other = docs.where("idx % 10 != 9").select(
-        "idx", F.when(F.col("idx") % 50 == 0, F.sha2("solution", 256)).otherwise(F.col("prompt_sha")).alias("prompt_sha"),
-        F.when(F.col("idx") % 4 == 0, F.lit(None)).when(F.col("idx") % 7 == 0, "xx").otherwise(F.col("solution")).alias("solution"),
+    changed = docs.where(there).select(
+        "idx", F.when(F.expr(other), F.sha2("solution", 256)).otherwise(F.col("prompt_sha")).alias("prompt_sha"),
+        F.when(F.col("idx") % 4 == 0, F.lit(None)).when(F.expr(wrong), "xx").otherwise(F.col("solution")).alias("solution"),
         F.when(F.col("idx") % 3 == 0, F.reverse("response")).when(F.col("idx") % 11 == 0, F.lit(None)).otherwise(F.col("response")).alias("response"),
     )
-    return docs, other
+    return docs, changed
 
 
-@query("""WITH a AS (SELECT doc_id AS idx, sha256(source) AS p, lang AS s, text AS r FROM documents), b AS (SELECT idx, CASE WHEN idx % 50 = 0 THEN sha256(s) ELSE p END AS p2, CASE WHEN idx % 4 = 0 THEN NULL WHEN idx % 7 = 0 THEN 'xx' ELSE s END AS s2,
-      CASE WHEN idx % 3 = 0 THEN array_to_string(list_reverse(string_split(r, '')), '') WHEN idx % 11 = 0 THEN NULL ELSE r END AS r2 FROM a WHERE idx % 10 <> 9)
-      SELECT count(*)::BIGINT AS paired, count(*) FILTER (p <> p2)::BIGINT AS prompt_mismatches, count(*) FILTER (s <> s2)::BIGINT AS solution_mismatches, count(*) FILTER (r IS NOT DISTINCT FROM r2)::BIGINT AS same_responses, count(*) FILTER (r IS DISTINCT FROM r2)::BIGINT AS different_responses,
-      sha256(array_to_string(list(p ORDER BY idx), chr(0))) AS prompts_sha256 FROM a JOIN b USING (idx)""")
+@query("WITH " + _CORPORA_SQL.format(other="idx % 50 = 0", wrong="idx % 7 = 0", there="true", sizes="left_rows <> right_rows THEN 'row_count_mismatch'"))
 def paired_corpora(spark, sf_dir):
-    """A corpus against an altered one."""
-    return pairs.paired_report(*_corpora(spark, sf_dir))
+    """A corpus against an altered one of as many rows."""
+    return pairs.paired_report(*_corpora(spark, sf_dir, "idx % 50 = 0", "idx % 7 = 0", "true"))
+
+
+@query("WITH " + _CORPORA_SQL.format(other="false", wrong="false", there="idx < 100", sizes="right_rows = 0 OR left_rows < right_rows THEN 'invalid_prefix_sizes'"))
+def paired_prefix(spark, sf_dir):
+    """A corpus against one that holds its first hundred prompts, answered anew: nothing is wrong."""
+    return pairs.paired_report(*_corpora(spark, sf_dir, "false", "false", "idx < 100"), right_is_prefix=True)
+
+
+@query("WITH " + _CORPORA_SQL.format(other="false", wrong="false", there="idx <> 17", sizes="left_rows <> right_rows THEN 'row_count_mismatch'"))
+def paired_with_a_gap(spark, sf_dir):
+    """A corpus against one that lacks a row."""
+    return pairs.paired_report(*_corpora(spark, sf_dir, "false", "false", "idx != 17"))
 
 
 @query("""WITH i AS (SELECT doc_id AS i FROM labels WHERE doc_id % 5 <> 3 UNION ALL SELECT doc_id FROM labels WHERE doc_id % 17 = 0 UNION ALL SELECT -doc_id - 1 FROM labels WHERE doc_id % 29 = 0), k AS (SELECT i, count(*) AS n FROM i GROUP BY i),
@@ -411,12 +424,14 @@ def pooled_score_sums(spark, sf_dir):
     return _pooled(spark, sf_dir).select("regime", "weighting", "n", F.round("w", 4).alias("w"), F.round("ws", 4).alias("ws"), F.round("v", 4).alias("v"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WEIGHTS}, t AS (SELECT regime, weighting, count(*)::BIGINT AS n, sum(weight) AS w, sum(weight * s) AS ws, 0.82 * sum(weight * weight) AS v FROM r GROUP BY 1, 2), q AS (SELECT *, w * w / v AS a, 20 * ws * w / v AS x FROM t),
+      {GAMMA_Q}, g AS (SELECT regime, weighting, n, CASE WHEN w <= 0 OR v <= 0 THEN 1.0 ELSE p END AS p FROM q JOIN tail USING (a, x))
+      SELECT regime, weighting, n, round(p, 6) AS p_value, p < 0.01 AS detected FROM g""")
 def pooled_gamma_test(spark, sf_dir):
-    """Weighted gamma tail of the pooled scores; nine rows, so the tail's function costs nothing."""
+    """Weighted gamma tail of the pooled scores."""
     s = _pooled(spark, sf_dir)
     p = F.when((F.col("w") <= 0) | (F.col("v") <= 0), F.lit(1.0)).otherwise(stats.gamma_q(F.col("w") * F.col("w") / F.col("v"), 20 * F.col("ws") * F.col("w") / F.col("v")))
-    return s.select("regime", "weighting", "n", p.alias("p_value")).withColumns({"strength": stats.minus_log10(F.col("p_value")), "detected": F.col("p_value") < 0.01})
+    return s.select("regime", "weighting", "n", F.round(p, 6).alias("p_value"), (p < 0.01).alias("detected"))
 
 
 @query("""SELECT l_returnflag, count(*)::BIGINT AS n, round(avg(l_discount), 9) AS mean, round(1.96 * stddev_samp(l_discount) / sqrt(count(*)), 9) AS margin FROM lineitem GROUP BY 1""")
@@ -505,9 +520,10 @@ def metric_reverification(spark, sf_dir):
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), b AS (SELECT *, min(CASE WHEN length(line) % 9 = 0 THEN i END) OVER (PARTITION BY doc_id) AS first_bad FROM l)
       SELECT doc_id, count(*) FILTER (trim(line) <> '')::BIGINT AS non_blank, count(*) FILTER (first_bad IS NULL OR i < first_bad)::BIGINT AS prefix FROM b GROUP BY doc_id""")
 def torn_tail_prefix(spark, sf_dir):
-    """Lines before a text's first bad one, where a length that nine divides stands for a torn line."""
+    """Lines before a text's first bad one, where a length that nine divides stands for a line that is torn somewhere, or lacks what it must hold."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = lines.withColumn("j", F.when(F.length("line") % 9 == 0, '{"x": 1').otherwise('{"x": 1}'))
+    torn = F.get(F.array(*map(F.lit, ('{"x": 1', '{"x": oops}', '{"x" 1}', '[1]', '{"y": 1}', '{"x": "one"}', '{"x":'))), (F.col("i") % 7).cast("int"))
+    lines = lines.withColumn("j", F.when(F.length("line") % 9 == 0, torn).otherwise('{"x": 1}'))
     kept = jsonl.valid_prefix(lines, "x int", "doc_id", "i", "j").groupBy("doc_id").agg(F.count("*").alias("kept"))
     non_blank = lines.groupBy("doc_id").agg(F.count_if(F.trim("line") != "").alias("non_blank"))
     return non_blank.join(kept, "doc_id", "left").select("doc_id", "non_blank", F.coalesce("kept", F.lit(0)).alias("prefix"))

@@ -36,3 +36,9 @@ HIT = "x < 4611686018427387648"
 
 def hoeffding(mean: str, n: str, gamma: str = "0.5") -> str:
     return f"CASE WHEN {n} <= 0 OR {mean} <= {gamma} THEN 1.0::DOUBLE ELSE greatest(1e-300::DOUBLE, exp(-2 * {n} * ({mean} - {gamma}) * ({mean} - {gamma}))) END"
+
+
+#: SQL: tail (a, x, p) of the rows of ``q`` with shape a and point x, by the power series; needs WITH RECURSIVE.
+GAMMA_Q = """terms AS (SELECT a, x, 1 AS k, 1 / a AS term, 1 / a AS total FROM (SELECT DISTINCT a, x FROM q WHERE x > 0 AND a > 0)
+        UNION ALL SELECT a, x, k + 1, term * x / (a + k), total + term * x / (a + k) FROM terms WHERE term > total * 1e-17),
+      tail AS (SELECT a, x, greatest(0, 1 - max(total) * exp(a * ln(x) - x - lgamma(a))) AS p FROM terms GROUP BY a, x UNION ALL SELECT DISTINCT a, x, 1.0 FROM q WHERE x <= 0 OR a <= 0)"""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,22 @@ def local_session(cpus: int | str = 8, app: str = "tallyweave", memory: str = "8
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which the cluster names in ``spark.checkpoint.dir``; made only in local mode, where that may be unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyweave-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that was not used before."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; ``sf_dir`` may be any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

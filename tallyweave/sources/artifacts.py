@@ -34,12 +34,18 @@ def write_bytes(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> str:
             out.write(bytearray(chunk))
     finally:
         out.close()
-    fs.delete(at, False)
-    if not fs.rename(beside, at):
-        raise OSError(f"could not move {beside} to {path}")
+    _replace(spark, beside, at)
     return digest.hexdigest()
 
 
+def _replace(spark: SparkSession, source, target) -> None:
+    """Move a file over another in one step of the file system: readers see the old or the new one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(target.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration()).rename(source, target, options)
+
+
 def read_json(spark: SparkSession, path: str) -> dict:
     if not exists(spark, path):
         raise FileNotFoundError(path)
@@ -58,13 +64,21 @@ def write_jsonl_file(df: DataFrame, path: str) -> str:
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
-    """A table written beside its place and moved there, so that readers see the old one or the new one."""
+    """A table written beside its place, then moved there; the old one is moved aside first and deleted last.
+
+    Nothing is lost if this stops in between, but for a moment a reader may find no table: file systems replace a file in one step, not a folder.
+    """
     fs, at = _open(df.sparkSession, path)
     beside = at.suffix(".tmp")
     df.write.mode("overwrite").parquet(beside.toString())
-    fs.delete(at, True)
+    aside = at.suffix(".old")
+    if fs.exists(at):
+        fs.delete(aside, True)
+        if not fs.rename(at, aside):
+            raise OSError(f"could not move {path} aside")
     if not fs.rename(beside, at):
         raise OSError(f"could not move {beside} to {path}")
+    fs.delete(aside, True)
 
 
 def save_part(df: DataFrame, folder: str, rank: int, part: int) -> None:

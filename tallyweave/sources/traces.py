@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tallyweave.functions import names, text
 from tallyweave.operators.traces import CHOICES, MESSAGES, blank, require
-from tallyweave.sources.jsonl import numbered_lines
+from tallyweave.sources.jsonl import indexed_lines, numbered_lines
 
 PLACE = ("file", "block", "line_no")
 
@@ -52,10 +52,9 @@ def read_shards(spark: SparkSession, folder: str, schema: str, limit: int | None
     """Rows of the shards in ``folder``, without a last line that has no line end.
 
     By index if every row has an integer one, which then must differ; else in the order of files and lines.
-    Shards are read whole, each by one task.
+    A shard of any size is read by byte ranges.
     """
-    whole = spark.read.text(f"{folder}/{pattern}", wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"[^\n]*\z", ""), "\n")).alias("line_no", "line"))
-    rows = _objects(whole.where(F.trim("line") != ""), "line", schema).select("file", "line_no", "row.*")
+    rows = _objects(numbered_lines(spark, f"{folder}/{pattern}", torn=False), "line", schema).select("file", "line_no", "row.*")
     n, whole_ints, different = rows.agg(F.count("*"), F.count("index"), F.countDistinct("index")).first()
     if n and n == whole_ints:
         if different < n:
@@ -80,12 +79,11 @@ def repaired(lines: DataFrame, schema: str) -> DataFrame:
 
 def length_hints(spark: SparkSession, path: str, expected: int) -> DataFrame:
     """(idx, length): lengths of the responses of a completed file, ``expected`` of them."""
-    rows = numbered_lines(spark, path)
-    rows = _objects(rows, "line", "response string").select("file", "line_no", "row.response")
+    rows = _objects(indexed_lines(spark, path), "line", "response string").select("idx", "row.response")
     rows = require(rows, F.col("response").isNotNull(), "a row has no response")
     if (n := rows.count()) != expected:
         raise ValueError(f"{n} rows with lengths, expected {expected}")
-    return rows.select((F.row_number().over(Window.orderBy("file", "line_no")) - 1).alias("idx"), F.length("response").alias("length"))  # one checkpoint-sized file
+    return rows.select("idx", F.length("response").alias("length"))
 
 
 def by_length(rows: DataFrame, hints: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import signal_report, trace_intake
-from jobs.common import merged, settings_of
+from jobs.common import merged
 
 SETTINGS = {"id": "i", "prompt": "p", "response": "r", "most_chars": 20, "buckets": 3}
 SCHEMA = "i long, p string, r string, extra map<string,int>"
@@ -137,13 +137,9 @@ def test_report_of_odd_texts(spark):
     assert signal_report.report(texts.limit(0), merged(signal_report.DEFAULTS, {"id": "id", "group": "grp"})).count() == 0
 
 
-def test_settings(spark):
+def test_settings():
     with pytest.raises(ValueError, match="unknown settings: sead"):
         merged(signal_report.DEFAULTS, {"sead": 1})
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    with settings_of(spark, spark__sql__shuffle__partitions="3", spark__own__thing="1"):
-        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
-    assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.conf.get("spark.own.thing", None) is None
 
 
 def test_command_line(spark, tmp_path, sf_dir):
