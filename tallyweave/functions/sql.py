@@ -44,7 +44,7 @@ def register(spark: SparkSession) -> None:
         "green(prev BIGINT, cur BIGINT, token BIGINT, seed BIGINT) RETURNS BOOLEAN": f"keyed_hash(prev, cur, token, seed) < {(1 << 62) - 256}L",
         "last_boxed(answer STRING) RETURNS STRING": f"upper(try_element_at(regexp_extract_all(answer, {_literal(BOXED)}, 1), -1))",
         "last_choice(answer STRING) RETURNS STRING": f"coalesce(last_boxed(answer), upper(try_element_at(regexp_extract_all(answer, {_literal(SAID)}, 1), -1)))",
-        "hoeffding(mean DOUBLE, n BIGINT, gamma DOUBLE) RETURNS DOUBLE": f"CASE WHEN n <= 0 OR mean <= gamma THEN 1D ELSE greatest({FLOOR!r}D, exp(-2 * n * (mean - gamma) * (mean - gamma))) END",
+        "hoeffding(mean DOUBLE, n BIGINT, gamma DOUBLE) RETURNS DOUBLE": f"CASE WHEN n <= 0 OR mean <= gamma THEN 1D WHEN mean IS NOT NULL AND n IS NOT NULL THEN greatest({FLOOR!r}D, exp(-2 * n * (mean - gamma) * (mean - gamma))) END",
         "log_gamma(a DOUBLE) RETURNS DOUBLE": f"0.5D * ln(2 * pi()) + (a + 0.5D) * ln(a + 7.5D) - (a + 7.5D) + ln({lanczos}) - ln(a)",
         "gamma_q(shape DOUBLE, x DOUBLE) RETURNS DOUBLE": """CASE WHEN shape IS NULL OR x IS NULL THEN NULL WHEN x <= 0 THEN 1D
             WHEN x < shape + 1 THEN greatest(0D, 1 - exp(shape * ln(x) - x - log_gamma(shape)) * aggregate(sequence(1, CAST(80 + 10 * sqrt(greatest(shape, x)) AS INT)), named_struct('term', 1 / shape, 'sum', 1 / shape),

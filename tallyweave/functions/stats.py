@@ -12,10 +12,10 @@ FLOOR = 1e-300
 
 
 def hoeffding(mean: Column, n: Column, gamma: Column | float) -> Column:
-    """One-sided tail of a mean over its expectation; 1 if it isn't over or nothing was measured."""
+    """One-sided tail of a mean over its expectation; 1 if it isn't over or nothing was measured, null for a null mean or count."""
     g = F.lit(gamma) if isinstance(gamma, float) else gamma
     p = F.greatest(F.lit(FLOOR), F.exp(-2 * n * (mean - g) * (mean - g)))
-    return F.when((n <= 0) | (mean <= g), F.lit(1.0)).otherwise(p)
+    return F.when((n <= 0) | (mean <= g), F.lit(1.0)).when(mean.isNotNull() & n.isNotNull(), p)
 
 
 def upper_gamma(shape: float, x: float) -> float:

@@ -45,11 +45,26 @@ def trace_weights(rows: DataFrame, trace: str, entropy: str) -> DataFrame:
     return df.withColumns({"sqrt_weight": F.sqrt("norm"), "linear_weight": 0.1 + 0.9 * F.col("norm")})
 
 
-def tilted(rows: DataFrame, group: str, p: str, hit: str, strength: float) -> DataFrame:
-    """Add ``tilt``: strength * p * (hit - the group's expected hit)."""
+def _ends(group: str, score: str | None, token: str | None, end: int | None) -> Column:
+    """Whether the token with a group's greatest score, of equal ones the least, is ``end``; never without an end."""
+    if end is None:
+        return F.lit(False)
+    top = F.max_by(token, F.struct(F.col(score), -F.col(token))).over(Window.partitionBy(group))
+    return top == end
+
+
+def boosted(rows: DataFrame, group: str, score: str, hit: str, delta: float, token: str | None = None, end: int | None = None) -> DataFrame:
+    """Add ``boosted``: the score, and ``delta`` more for hits; as it is in groups whose best token is ``end``."""
+    more = F.when(F.col(hit) & ~_ends(group, score, token, end), F.lit(float(delta))).otherwise(F.lit(0.0))
+    return rows.withColumn("boosted", F.col(score) + more)
+
+
+def tilted(rows: DataFrame, group: str, p: str, hit: str, strength: float, score: str | None = None, token: str | None = None, end: int | None = None) -> DataFrame:
+    """Add ``tilt``: strength * p * (hit - the group's expected hit); zero in groups whose token with the best ``score`` is ``end``."""
     w = Window.partitionBy(group)
     g = F.col(hit).cast("double")
-    return rows.withColumn("tilt", strength * F.col(p) * (g - F.sum(F.col(p) * g).over(w)))
+    tilt = strength * F.col(p) * (g - F.sum(F.col(p) * g).over(w))
+    return rows.withColumn("tilt", tilt if end is None else F.when(_ends(group, score, token, end), F.lit(0.0)).otherwise(tilt))
 
 
 def open_value(p: Column, hit: Column, shared: Column) -> Column:

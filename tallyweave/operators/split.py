@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyweave.functions.text import hash_bucket, stable_hash
+from tallyweave.operators.traces import normalised_messages, reject_reason
+from tallyweave.session import new_path
 
 
 def trace_id(prompt: Column, response: Column) -> Column:
@@ -24,14 +26,18 @@ def leakage_free_split(rows: DataFrame, seed: int = 42, train: int = 9000, evalu
 
     Adds trace (hash), split, accepted and reason, and leaves out rows behind the place where both quotas were full.
     Prompts go to a split by hash, so none is in both. A row is a duplicate if its trace was accepted before;
-    then too long; then its split is full or its prompt has had its share. Only traces and
-    places are sorted, no texts.
+    then too long; then its split is full or its prompt has had its share. A column ``own_reason`` in ``rows`` is a reason that a row has by
+    itself, which comes before these and keeps it out. Only traces and places are sorted, no texts; they are written to the shared folder once.
     """
+    own = F.col("own_reason") if "own_reason" in rows.columns else F.lit(None).cast("string")
     digest = stable_hash(F.lit(str(seed)), F.col("prompt"))
     base = rows.withColumns(
-        {"trace": trace_id(F.col("prompt"), F.col("response")), "split": F.when(hash_bucket(digest, buckets) == 0, "eval").otherwise("train"), "fits": F.col("n_tokens") <= most_tokens}
+        {"trace": trace_id(F.col("prompt"), F.col("response")), "split": F.when(hash_bucket(digest, buckets) == 0, "eval").otherwise("train"), "fits": (F.col("n_tokens") <= most_tokens) & own.isNull()}
     )
-    slim = base.where("fits").select("scan_pos", "prompt", "trace", "split")
+    path = new_path(rows.sparkSession, "split")
+    slim = base.where("fits").select("scan_pos", F.sha2("prompt", 256).alias("prompt"), "trace", "split")
+    slim.write.parquet(path)
+    slim = rows.sparkSession.read.schema(slim.schema).parquet(path)
     first = slim.groupBy("trace").agg(F.min("scan_pos").alias("scan_pos"), F.min_by("prompt", "scan_pos").alias("prompt"), F.min_by("split", "scan_pos").alias("split"))
     share = F.row_number().over(Window.partitionBy("prompt").orderBy("scan_pos"))
     first = first.withColumn("share", share).where((F.col("share") <= F.when(F.col("split") == "eval", 1).otherwise(per_prompt)))
@@ -45,7 +51,8 @@ def leakage_free_split(rows: DataFrame, seed: int = 42, train: int = 9000, evalu
     joined = joined.where(F.col("full_train").isNull() | F.col("full_eval").isNull() | (F.col("scan_pos") <= F.greatest("full_train", "full_eval")))
     past = lambda c: F.coalesce(F.col("scan_pos") > F.col(c), F.lit(False))
     reason = (
-        F.when(F.col("scan_pos") == F.col("t_pos"), "accepted")
+        F.when(own.isNotNull(), own)
+        .when(F.col("scan_pos") == F.col("t_pos"), "accepted")
         .when(F.col("t_pos") < F.col("scan_pos"), "duplicate_trace")
         .when(~F.col("fits"), "over_token_limit")
         .when((F.col("split") == "eval") & past("full_eval"), "eval_full")
@@ -55,3 +62,13 @@ def leakage_free_split(rows: DataFrame, seed: int = 42, train: int = 9000, evalu
     )
     out = joined.withColumn("reason", reason)
     return out.select(*rows.columns, "trace", "split", (F.col("reason") == "accepted").alias("accepted"), "reason")
+
+
+def prepared_split(rows: DataFrame, seed: int = 42, **quotas: int) -> DataFrame:
+    """The whole chain of preparation on rows (scan_pos, messages, n_tokens, and any others): ``leakage_free_split`` after ``reject_reason``.
+
+    Prompt and response are the stripped contents of the two messages; rows that are no such pair have null ones.
+    """
+    pair = normalised_messages(F.col("messages"))
+    said = rows.withColumns({"prompt": F.get(pair, F.lit(0))["content"], "response": F.get(pair, F.lit(1))["content"], "own_reason": reject_reason(F.col("messages"))})
+    return leakage_free_split(said, seed, **quotas).drop("own_reason")
