@@ -31,12 +31,12 @@ def report(texts: DataFrame, settings: dict) -> DataFrame:
     rows = texts.select(F.col(settings["id"]).cast("long").alias("id"), F.col(settings["text"]).alias("text"), F.col(settings["group"]).cast("string").alias("group"))
     grams = tokens.bigrams(tokens.token_arrays(rows, "id", "text", "group"), "group")
     first = tokens.first_occurrence(grams, ["group", "prev", "cur"], ["id", "pos"], ["token"])
-    keys = [HashKey(seed, settings["gamma"]) for seed in settings["seeds"]]
-    for i, key in enumerate(keys):
-        first = with_hash(first, "prev", "cur", "token", key, out=f"x{i}")
-    counted = first.groupBy("group").agg(F.count("*").alias("contexts"), F.sum("times").alias("positions"), *(F.count_if(in_set(F.col(f"x{i}"), key)).alias(f"h{i}") for i, key in enumerate(keys)))
-    each = counted.select("group", "contexts", "positions", F.explode(F.array(*(F.struct(F.lit(key.seed).cast("long").alias("seed"), F.col(f"h{i}").alias("hits")) for i, key in enumerate(keys)))).alias("of"))
-    each = each.select("group", "contexts", "positions", "of.hits", "of.seed").withColumn("mean", F.col("hits") / F.col("contexts"))
+    seeds = [HashKey(seed, settings["gamma"]).seed for seed in settings["seeds"]]
+    first = first.withColumn("seed", F.explode(F.array(*(F.lit(seed).cast("long") for seed in seeds))))
+    key = HashKey(gamma=settings["gamma"])
+    hashed = with_hash(first, "prev", "cur", "token", key, seed="seed")
+    each = hashed.groupBy("group", "seed").agg(F.count("*").alias("contexts"), F.sum("times").alias("positions"), F.count_if(in_set(F.col("x"), key)).alias("hits"))
+    each = each.withColumn("mean", F.col("hits") / F.col("contexts"))
     each = each.withColumn("p_value", stats.hoeffding(F.col("mean"), F.col("contexts"), settings["gamma"]))
     return each.select("group", "contexts", "positions", "hits", F.round("mean", 9).alias("mean"), F.round("p_value", 9).alias("p_value"), F.round(stats.minus_log10(F.col("p_value")), 6).alias("minus_log10_p"), (F.col("p_value") < settings["alpha"]).alias("detected"), "seed")
 

@@ -47,11 +47,11 @@ def wrapped_product(a: Column, m: int) -> Column:
     return F.shiftleft(mask(top), 32).bitwiseOR(mask(bottom))
 
 
-def with_hash(df: DataFrame, prev: str, cur: str, token: str, key: HashKey, out: str = "x") -> DataFrame:
-    """Add the 63-bit hash of each row; column by column, so that no step is computed twice."""
+def with_hash(df: DataFrame, prev: str, cur: str, token: str, key: HashKey, out: str = "x", seed: str | None = None) -> DataFrame:
+    """Add the 63-bit hash of each row, with the key's seed or the column ``seed``; column by column, so that no step is computed twice."""
     long = lambda c: F.col(c).cast("long")
     df = df.withColumns({"h_t": long(token), "h_p": long(prev), "h_c": long(cur)})
-    df = df.withColumn("h_x", wrapped_product(F.col("h_t"), M1).bitwiseXOR(wrapped_product(F.col("h_p"), M2)).bitwiseXOR(wrapped_product(F.col("h_c"), M3)).bitwiseXOR(F.lit(key.seed)))
+    df = df.withColumn("h_x", wrapped_product(F.col("h_t"), M1).bitwiseXOR(wrapped_product(F.col("h_p"), M2)).bitwiseXOR(wrapped_product(F.col("h_c"), M3)).bitwiseXOR(F.lit(key.seed) if seed is None else F.col(seed)))
     df = df.withColumn("h_x", F.col("h_x").bitwiseXOR(F.shiftright("h_x", 30)))
     df = df.withColumn("h_x", wrapped_product(F.col("h_x"), M2))
     df = df.withColumn("h_x", F.col("h_x").bitwiseXOR(F.shiftright("h_x", 27)))

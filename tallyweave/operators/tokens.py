@@ -15,8 +15,12 @@ def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def token_arrays(docs: DataFrame, id_col: str, text_col: str, *carried: str) -> DataFrame:
-    """(id, carried..., tokens array): one row a text."""
-    return docs.select(F.col(id_col).alias("id"), *carried, F.transform(F.split(F.lower(text_col), " "), lambda w: token_id(w)).alias("tokens"))
+    """(id, carried..., tokens array): one row a text; a null text has a null array.
+
+    Behind a generator: conditions on tokens are not pushed below it, so that ids are computed once a text.
+    """
+    ids = F.transform(F.split(F.lower(text_col), " "), lambda w: token_id(w))
+    return docs.select(F.col(id_col).alias("id"), *carried, F.explode(F.array(ids)).alias("tokens"))
 
 
 def bigrams(arrays: DataFrame, *carried: str) -> DataFrame:
@@ -45,11 +49,14 @@ def ngrams(arrays: DataFrame, n: int, first: int | None = None) -> DataFrame:
 
 
 def _different(rows: Column) -> Column:
-    """How many different elements an array has: sorted, equal ones are neighbours."""
-    ordered = F.array_sort(rows)
-    n = F.size(ordered)
-    changes = F.zip_with(F.slice(ordered, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ordered, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.when(a != b, 1))
-    return (F.size(F.array_compact(changes)) + F.when(n > 0, 1).otherwise(0)).cast("long")
+    """How many different elements an array has: sorted, equal ones are neighbours. The sorted array is bound by a lambda, else each use would sort."""
+
+    def changes(ordered: Column) -> Column:
+        rest = F.greatest(F.size(ordered) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(ordered, F.lit(1), rest), F.slice(ordered, F.lit(2), rest), lambda a, b: a != b)
+        return F.size(F.filter(pairs, lambda x: x)) + F.least(F.size(ordered), F.lit(1))
+
+    return F.get(F.transform(F.array(F.sort_array(rows)), changes), F.lit(0)).cast("long")
 
 
 def ngram_counts(arrays: DataFrame, n: int) -> DataFrame:
