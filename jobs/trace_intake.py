@@ -68,13 +68,11 @@ def decided(rows: DataFrame, before: DataFrame, settings: dict) -> DataFrame:
     had = before.groupBy("prompt_sha256").agg(F.count("*").alias("had"))
     taken = few.join(had, "prompt_sha256", "left").where(F.col("k") + F.coalesce("had", F.lit(0)) <= most)
     known = taken.select("trace", F.col("file").alias("t_file"), F.col("row").alias("t_row")).unionByName(before.select("trace").distinct(), allowMissingColumns=True)
-    out = rows.join(known.withColumn("known", F.lit(True)), "trace", "left")
+    out = rows.where("own is null").join(known.withColumn("known", F.lit(True)), "trace", "left")
     own_place = (F.col("file") == F.col("t_file")) & (F.col("row") == F.col("t_row"))
-    reason = (
-        F.when(F.col("own").isNotNull(), F.col("own")).when(own_place, "accepted").when(F.col("known"), "duplicate_trace")
-        .when(F.col("split") == "eval", "extra_eval_trace").otherwise("too_many_train_traces")
-    )
-    out = out.withColumn("reason", reason)
+    reason = F.when(own_place, "accepted").when(F.col("known"), "duplicate_trace").when(F.col("split") == "eval", "extra_eval_trace").otherwise("too_many_train_traces")
+    # rows with a reason of their own have no trace to join by, and would meet in one task
+    out = out.select(*rows.columns, reason.alias("reason")).unionByName(rows.where("own is not null").withColumn("reason", F.col("own")))
     text = lambda c: F.when(F.col("reason") == "accepted", F.col(c)).alias(c)
     return out.select("trace_id", "prompt_sha256", "trace", "n_chars", "reason", text("prompt"), text("response"), "split")
 
