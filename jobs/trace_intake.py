@@ -60,8 +60,8 @@ def decided(rows: DataFrame, before: DataFrame, settings: dict) -> DataFrame:
     """
     at = [F.col("trace_id").asc_nulls_first(), "file", "row"]
     slim = rows.where("own is null").select("trace_id", "file", "row", "trace", "prompt_sha256", "split")
-    new = slim.join(before.select("trace"), "trace", "left_anti")
-    first = new.withColumn("k", F.row_number().over(Window.partitionBy("trace").orderBy(*at))).where("k = 1")
+    # the first of a trace before the join: a trace that many rows repeat is one row a task by then
+    first = slim.withColumn("k", F.row_number().over(Window.partitionBy("trace").orderBy(*at))).where("k = 1").join(before.select("trace"), "trace", "left_anti")
     most = F.when(F.col("split") == "eval", settings["eval_per_prompt"]).otherwise(settings["train_per_prompt"])
     few = first.withColumn("k", F.row_number().over(Window.partitionBy("prompt_sha256").orderBy(*at)))
     few = few.where(F.col("k") <= max(settings["eval_per_prompt"], settings["train_per_prompt"]))
