@@ -21,8 +21,9 @@ from tallyweave.llm.common import WHITE, words, written
 
 #: Words of a reference, and the longest word that can be one of them.
 TOP, SHORT = 24, 8
-#: A language needs so many documents to give a reference; documents of one with fewer are not judged by distance.
-LEAST_DOCS = 20
+#: A language gives a reference if one document in so many is its, whatever the size of the corpus: at most so many
+#: references, and the same verdicts for the same mix of documents. Documents of rarer ones are not judged by distance.
+ONE_IN = 100
 #: Character classes: Java patterns of what is counted, taken out one after another; a last cell holds what is left.
 CLASSES = {
     "lower": "[a-z]+",
@@ -54,15 +55,17 @@ def _lang(lang_col: str) -> Column:
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[dict]:
     """Per language: its class shares and its most frequent words with their shares.
 
-    Rows with a null language count as one language of their own. Every language of ``LEAST_DOCS`` documents
-    or more gives a reference; ``TOP`` words of each come to the driver.
+    Rows with a null language count as one language of their own. Every language that one document in ``ONE_IN``
+    or more has gives a reference; ``TOP`` words of each come to the driver, of ``ONE_IN`` languages at most.
     """
     lang = _lang(lang_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(lang.alias("lang"), text.alias("text"))
     counts = _with_classes(base, "text")
     sums = counts.groupBy("lang").agg(F.count("*").alias("docs"), *(F.sum(F.get("q_classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)))
-    kept = sums.where(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "lang").collect()
+    sums = written(sums)
+    all_docs = sums.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    kept = sums.where(F.col("docs") * ONE_IN >= all_docs).orderBy(F.desc("docs"), "lang").collect()
     if not kept:
         return []
     each = base.where(F.col("lang").isin([r["lang"] for r in kept])).select("lang", F.explode(words(F.col("text"))).alias("word"))
@@ -171,7 +174,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs
     (double) and kept; a column of ``docs`` of such a name is replaced. Rows stay one for one. Null, empty and
     white-space texts have no words, fail and are not
     kept. Below the least number of words, and where ``refs`` have none of the document's language, a distance
-    is given but does not count. Without any reference (an empty table, or too few documents of every language)
+    is given but does not count. Without any reference (an empty table, or only rare languages)
     they are null and do not count either. Equal
     rows get equal verdicts. Windows of five words are compared by a 64-bit hash within one text.
 
