@@ -323,6 +323,14 @@ def test_lines_of_a_hot_block_meet_in_two(spark):
     assert {(2 * i, 2 * i + 1) for i in range(30)} <= _linked_lines(spark, rows)
 
 
+def test_lines_of_a_very_long_document(spark):
+    rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    own = [" ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(10)) for _ in range(8000)]
+    df = spark.createDataFrame([(1, "\n".join(own + own)), (2, own[0]), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.deduplicated(df).collect()}
+    assert got == {1: ("\n".join(own), 16000, 8000), 2: ("", 1, 1), 3: (None, 0, 0)}
+
+
 # --- 3 SimHash -----------------------------------------------------------------------------------------------------
 
 
