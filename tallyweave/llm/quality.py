@@ -53,7 +53,7 @@ def _lang(lang_col: str) -> Column:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[dict]:
-    """Per language: its class shares and its most frequent words with their shares.
+    """Per language: its class shares and its most frequent words with their hashes and shares.
 
     Rows with a null language count as one language of their own. Every language that one document in ``ONE_IN``
     or more has gives a reference; ``TOP`` words of each come to the driver, of ``ONE_IN`` languages at most.
@@ -73,20 +73,22 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     tallied = written(each.groupBy("lang", F.when(short, F.col("word")).alias("word")).agg(F.count("*").alias("n")))
     totals = {r["lang"]: r["n"] for r in tallied.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = tallied.where("word is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") <= TOP).collect()
+    top = tallied.where("word is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") <= TOP)
+    top = top.withColumn("hash", F.xxhash64("word")).collect()
     out = []
     for r in kept:
         total = [r[f"c{i}"] for i in range(len(CLASSES) + 1)]
         if sum(total) and totals.get(r["lang"]):
             if not any(x["lang"] == r["lang"] for x in top):
                 continue
-            own = sorted((x["r"], x["word"], x["n"]) for x in top if x["lang"] == r["lang"])
+            own = sorted((x["r"], x["word"], x["hash"], x["n"]) for x in top if x["lang"] == r["lang"])
             out.append(
                 {
                     "lang": r["lang"],
                     "classes": [x / sum(total) for x in total],
-                    "words": [w for _, w, _ in own],
-                    "shares": [n / totals[r["lang"]] for _, _, n in own],
+                    "words": [w for _, w, _, _ in own],
+                    "hashes": [h for _, _, h, _ in own],
+                    "shares": [n / totals[r["lang"]] for *_, n in own],
                 }
             )
     return out
@@ -110,18 +112,19 @@ def _distances(df: DataFrame, refs: list[dict]) -> DataFrame:
     """Add ``d_classes`` and ``d_words``, the least distances over the references; null without any."""
     if not refs:
         return df.withColumns({"d_classes": F.lit(None).cast("double"), "d_words": F.lit(None).cast("double")})
-    every = sorted({w for r in refs for w in r["words"]})
-    code = {w: chr(0x4E00 + i if i < 0x8A00 else 0x7600 + i) for i, w in enumerate(every)}  # no surrogates
-    codes = F.create_map(*(F.lit(x) for pair in code.items() for x in pair))
-    df = df.withColumn("q_common", F.filter("q_words", lambda w: w.isin(every)))
-    df = df.withColumn("q_coded", F.array_join(F.transform("q_common", lambda w: codes[w]), ""))
-    hits = (F.length("q_coded") - F.length(F.replace("q_coded", F.lit(code[w]), F.lit(""))) for w in every)
-    df = df.withColumn("q_hits", F.array(*hits))
+    # the hashes of common words are sorted with one of each put in: a word's hits lie between its place and the next one's
+    every = sorted({h for r in refs for h in r["hashes"]})
+    df = df.withColumn("q_common", F.filter("q_hash", lambda h: h.isin(every)))
+    df = df.withColumn("q_ring", F.sort_array(F.concat("q_common", F.array(*map(F.lit, every)))))
+    # over an array of literals: one expression for each word makes a method that is too long to be compiled
+    at = F.transform(F.array(*map(F.lit, every)), lambda h: F.array_position("q_ring", h))
+    df = df.withColumn("q_place", F.concat(at, F.array(F.size("q_ring").cast("long") + 1)))
+    df = df.withColumn("q_hits", F.zip_with(F.slice("q_place", F.lit(2), F.lit(len(every))), F.slice("q_place", F.lit(1), F.lit(len(every))), lambda b, a: b - a - 1))
     n_chars = F.greatest(F.length("q_text"), F.lit(1))
     df = df.withColumn("q_share", F.transform("q_classes", lambda x: x / n_chars))
     n_words = F.greatest(F.col("n_words"), F.lit(1))
-    place = {w: i for i, w in enumerate(every)}
-    found = lambda r: F.transform(F.array(*(F.lit(place[w]) for w in r["words"])), lambda i: F.get("q_hits", i) / n_words)
+    place = {h: i for i, h in enumerate(every)}
+    found = lambda r: F.transform(F.array(*(F.lit(place[h]) for h in r["hashes"])), lambda i: F.get("q_hits", i) / n_words)
     df = df.withColumns({f"q_found_{k}": found(r) for k, r in enumerate(refs)})
     by_class, by_word = [], []
     for k, r in enumerate(refs):
@@ -141,10 +144,11 @@ def _measured(df: DataFrame) -> DataFrame:
     text = F.col("q_text")
     df = _with_classes(df, "q_text").withColumn("q_words", words(text))
     cell = {name: F.get("q_classes", F.lit(i)) for i, name in enumerate(CLASSES)}
-    five = F.transform(
-        F.when(F.size("q_words") >= 5, F.sequence(F.lit(0), F.size("q_words") - 5)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.xxhash64(*(F.get("q_words", i + k) for k in range(5))),
-    )
+    # windows of five from windows of two and four: each word is hashed once
+    joined = lambda a, b, skip: F.zip_with(a, F.slice(b, F.lit(skip + 1), F.size(b)), lambda x, y: F.xxhash64(x, y))
+    df = df.withColumn("q_hash", F.transform("q_words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("q_two", joined("q_hash", "q_hash", 1)).withColumn("q_four", joined("q_two", "q_two", 2))
+    five = F.slice(joined("q_four", "q_hash", 4), F.lit(1), F.greatest(F.size("q_hash") - 4, F.lit(0)))
     df = df.withColumns({"q_five": five, "q_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     # windows that occur twice or more, in order of their places
     again = F.size(F.array_distinct("q_five")) < F.size("q_five")
@@ -176,7 +180,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs
     kept. Below the least number of words, and where ``refs`` have none of the document's language, a distance
     is given but does not count. Without any reference (an empty table, or only rare languages)
     they are null and do not count either. Equal
-    rows get equal verdicts. Windows of five words are compared by a 64-bit hash within one text.
+    rows get equal verdicts. Words of references and windows of five words are told apart by 64-bit hashes within one text.
 
     The measures come out of a generator of one row, which conditions on them are not pushed through: inside the
     projections below, a condition would repeat all that its column is computed from, one step in the other.
