@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,26 @@ def ordered_digest(rows: DataFrame, order: str, digest: str, out: str) -> DataFr
     return blocks.agg(F.when(F.count("*") > 1, joined("block", "own")).otherwise(F.coalesce(F.max("own"), F.sha2(F.lit(""), 256))).alias(out))
 
 
+def sequence_digest(rows: DataFrame, order: str, digest: str, out: str) -> DataFrame:
+    """One row: the sha256 of every ``digest`` that is not null, joined by NUL in the order of ``order`` (null last, then by digest); of the empty string without any.
+
+    A sha256 is sequential, so one task reads the sorted digests as a stream: 64 characters a row, a batch of them at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, first = hashlib.sha256(), True
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            if found:
+                total.update(("" if first else NUL).encode() + NUL.join(found).encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([total.hexdigest()])], [out])
+
+    held = rows.where(F.col(digest).isNotNull()).select(F.col(order).alias("k"), F.col(digest).alias("v"))
+    hashed = held.repartition(1).sortWithinPartitions(F.asc_nulls_last("k"), "v").select("v").mapInArrow(run, f"{out} string")
+    return hashed.agg(F.coalesce(F.max(out), F.sha2(F.lit(""), 256)).alias(out))  # without rows no task runs
+
+
 def paired_report(left: DataFrame, right: DataFrame, right_is_prefix: bool = False) -> DataFrame:
     """One row about two corpora (idx, prompt_sha, solution, response) paired by index, which counts rows from 0.
 
@@ -56,7 +80,7 @@ def paired_report(left: DataFrame, right: DataFrame, right_is_prefix: bool = Fal
         F.when(alone, "index_mismatch").when(F.col("prompt_mismatches") > 0, "prompt_mismatches").when(F.col("solution_mismatches") > 0, "solution_mismatches").when(F.col("same_responses") == m, "identical_responses"),
     )
     out = found.withColumn("problem", problem).drop("right_only", "left_only")
-    return out.join(F.broadcast(ordered_digest(right, "idx", "prompt_sha", "prompts_sha256")))  # one row each
+    return out.join(F.broadcast(sequence_digest(right, "idx", "prompt_sha", "prompts_sha256")))  # one row each
 
 
 def require_paired(report: DataFrame) -> DataFrame:

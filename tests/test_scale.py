@@ -205,6 +205,16 @@ def test_digest_in_blocks(spark, monkeypatch):
     assert of(10) == sha([sha(names[:4]), sha(names[4:8]), sha(names[8:])])
 
 
+def test_report_hashes_the_whole_sequence(spark):
+    n = pairs.BLOCK + 3000
+    side = spark.range(n).select(F.col("id").alias("idx"), F.sha2(F.col("id").cast("string"), 256).alias("prompt_sha"), F.lit("s").alias("solution"), F.col("id").cast("string").alias("response"))
+    got = pairs.paired_report(side, side.withColumn("response", F.lit("x")).repartition(5)).first()
+    each = (hashlib.sha256(str(i).encode()).hexdigest() for i in range(n))
+    assert (got["right_rows"], got["problem"]) == (n, None) and got["prompts_sha256"] == hashlib.sha256("\0".join(each).encode()).hexdigest()
+    empty = pairs.sequence_digest(side.limit(0), "idx", "prompt_sha", "x").collect()
+    assert [r["x"] for r in empty] == [hashlib.sha256(b"").hexdigest()]
+
+
 def test_blank_contents_give_no_prompt(spark):
     df = spark.createDataFrame([([("prompter", " hi\n"), ("assistant", "yes")],), ([("user", "  ")],), ([(None, "x")],)], "m array<struct<role string, content string>>")
     got = [r[0] for r in df.select(text.chat_prompt(F.col("m"))).collect()]
