@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.blocks import block_links, shared_blocks
+from tallyweave.llm.blocks import block_links, rarest, shared_blocks
 from tallyweave.llm.common import free_name, map_arrow, written
 from tallyweave.llm.components import components
 
@@ -287,6 +287,12 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int, sets: boo
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
+def _prefixes(sets: DataFrame, similar: float) -> DataFrame:
+    """(node, k): keys of sets (node, own array) of which two at a Jaccard similarity of ``similar`` share one: they have that share of the larger set in common."""
+    each = sets.select("node", F.explode("own").alias("e"))
+    return rarest(each, (F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1).cast("int"))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similar: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of rows with an id: groups linked by fingerprint or by the similarity of their shingles.
 
@@ -318,7 +324,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         two = two.join(own.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").withColumn("both", F.size(F.array_intersect("own_a", "own_b")))
         return written(two.where(F.col("both") >= (F.col("n_a") + F.col("n_b") - F.col("both")) * similar - 1e-9).select("a", "b"))
 
-    joined = components(found.unionAll(block_links(members, verified, near, PARTS)))
+    joined = components(found.unionAll(block_links(members, verified, near, PARTS, lambda nodes: _prefixes(own.join(nodes, "node", "left_semi"), similar))))
     root = classes.select("key", F.col("node").alias("k_node")).join(joined, F.col("k_node") == F.col("node"), "left").select(F.col("key").alias("r_key"), F.coalesce("component", "k_node").alias("component_id"))
     return rows.join(root, F.col("key") == F.col("r_key")).select("doc_id", "component_id")
 

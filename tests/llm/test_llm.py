@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyweave.llm import bpe, chat, common, embeddings, html, lines, lm, packing, quality, registry, simhash, tokencount
+from tallyweave.llm import blocks, bpe, chat, common, embeddings, html, lines, lm, packing, quality, registry, simhash, tokencount
 from tallyweave.llm.components import components
 
 JSON_PATH, RANKS_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -323,6 +323,32 @@ def test_lines_of_a_hot_block_meet_in_two(spark):
     assert {(2 * i, 2 * i + 1) for i in range(30)} <= _linked_lines(spark, rows)
 
 
+def test_lines_that_share_one_hot_block_only(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "DEAL", 7)
+    rng = random.Random(6)
+    said = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4 if i % 2 else 9)) + " read on here" for i in range(30)]
+    own = itertools.count(100)
+    rows = [(2 * i + k, [7, *(next(own) for _ in range(5))], x[: len(x) - k] + "z" * k) for i, x in enumerate(said) for k in range(2)]
+    assert _linked_lines(spark, rows) == {(2 * i, 2 * i + 1) for i in range(30)}
+
+
+def test_documents_that_share_one_hot_part_only(spark):
+    rng = random.Random(7)
+    sets = [[rng.randrange(1 << 60) for _ in range(20)] for _ in range(25)]
+    own = {2 * i + k: set([1, 2, 3, *x][: 23 - k]) for i, x in enumerate(sets) for k in range(2)}
+    members = spark.createDataFrame([(5, i, len(x)) for i, x in own.items()], "block long, node long, n int")
+    texts = spark.createDataFrame([(i, sorted(x)) for i, x in own.items()], "node long, own array<long>")
+    near = lambda least, most: least >= most * 0.8 - 1e-9
+
+    def verified(pairs):
+        found = [(r["a"], r["b"]) for r in pairs.collect() if len(own[r["a"]] & own[r["b"]]) >= 0.8 * len(own[r["a"]] | own[r["b"]])]
+        return spark.createDataFrame(found, "a long, b long")
+
+    finer = lambda nodes: simhash._prefixes(texts.join(nodes, "node", "left_semi"), 0.8)
+    got = blocks.block_links(members, verified, near, simhash.PARTS, finer).collect()
+    assert {tuple(sorted((r["a"], r["b"]))) for r in got} == {(2 * i, 2 * i + 1) for i in range(25)}
+
+
 def test_lines_of_a_very_long_document(spark):
     rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
     own = [" ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(10)) for _ in range(8000)]
