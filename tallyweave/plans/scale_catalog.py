@@ -83,9 +83,12 @@ def sql_signal_by_source(spark, sf_dir):
     """The signal in all positions by source, in SQL text alone."""
     sql.register(spark)
     return spark.sql(
-        """WITH t AS (SELECT source, transform(split(lower(text), ' '), w -> CAST(conv(substr(md5(w), 1, 15), 16, 10) AS BIGINT) % 151936) AS toks FROM {documents}),
+        """WITH t AS (SELECT source, explode(array(transform(split(lower(text), ' '), w -> CAST(conv(substr(md5(w), 1, 15), 16, 10) AS BIGINT) % 151936))) AS toks FROM {documents}),
         g AS (SELECT source, explode(arrays_zip(slice(concat(array(-1L), toks), 1, greatest(size(toks) - 1, 0)), slice(toks, 1, greatest(size(toks) - 1, 0)), slice(toks, 2, greatest(size(toks) - 1, 0)))) AS z FROM t),
-        s AS (SELECT source, count(*) AS n, count_if(green(z['0'], z['1'], z['2'], {seed})) AS hits FROM g GROUP BY source)
+        k1 AS (SELECT source, wrapped_m1(z['2']) ^ wrapped_m2(z['0']) ^ wrapped_m3(z['1']) ^ {seed} AS x FROM g),
+        k2 AS (SELECT source, x ^ shiftright(x, 30) AS x FROM k1), k3 AS (SELECT source, wrapped_m2(x) AS x FROM k2),
+        k4 AS (SELECT source, x ^ shiftright(x, 27) AS x FROM k3), k5 AS (SELECT source, wrapped_m3(x) AS x FROM k4),
+        s AS (SELECT source, count(*) AS n, count_if((x ^ shiftright(x, 31)) & 9223372036854775807 < 4611686018427387648) AS hits FROM k5 GROUP BY source)
         SELECT source, n, hits, round(hoeffding(hits / n, n, 0.5D), 9) AS p_value FROM s""",
         documents=table(spark, sf_dir, "documents"), seed=KEY.seed,
     )
@@ -94,11 +97,13 @@ def sql_signal_by_source(spark, sf_dir):
 @query(f"""WITH {TOKENS}, seqs AS (SELECT id, list(token ORDER BY pos) AS t FROM toks GROUP BY id), g AS (SELECT id, t, unnest(range(4, len(t))) AS pos FROM seqs WHERE len(t) > 4)
       SELECT id, count(*)::BIGINT AS n, sum(t[pos + 1])::BIGINT AS targets, count(DISTINCT t[pos - 2 : pos])::BIGINT AS contexts FROM g GROUP BY id""")
 def sql_ngrams(spark, sf_dir):
-    """Contexts of three tokens and their targets by the corpus rule, in SQL text alone, with the table function."""
+    """Contexts of three tokens (ids of 18 bits, packed into one number) and their targets by the corpus rule, in SQL text alone, counted inside the row."""
     sql.register(spark)
     return spark.sql(
-        """WITH t AS (SELECT doc_id AS id, transform(split(lower(text), ' '), w -> CAST(conv(substr(md5(w), 1, 15), 16, 10) AS BIGINT) % 151936) AS toks FROM {documents})
-        SELECT id, count(*) AS n, sum(g.target) AS targets, count(DISTINCT g.context) AS contexts FROM t, LATERAL ngrams(toks, 3) AS g GROUP BY id""",
+        """WITH t AS (SELECT doc_id AS id, explode(array(transform(split(lower(text), ' '), w -> CAST(conv(substr(md5(w), 1, 15), 16, 10) AS BIGINT) % 151936))) AS toks FROM {documents})
+        SELECT id, CAST(size(toks) - 4 AS BIGINT) AS n, aggregate(slice(toks, 5, size(toks) - 4), 0L, (s, t) -> s + t) AS targets,
+          CAST(size(array_distinct(zip_with(zip_with(slice(toks, 2, size(toks) - 4), slice(toks, 3, size(toks) - 4), (a, b) -> a * 262144 + b), slice(toks, 4, size(toks) - 4), (a, b) -> a * 262144 + b))) AS BIGINT) AS contexts
+        FROM t WHERE size(toks) > 4""",
         documents=table(spark, sf_dir, "documents"),
     )
 
