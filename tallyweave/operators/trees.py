@@ -19,25 +19,46 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def message_chains(messages: DataFrame) -> DataFrame:
-    """(message_id, depth, path): messages (message_id, parent_id, role, text) with the chain from their root.
+def _keyed(messages: DataFrame) -> DataFrame:
+    """``messages`` with a key of each row's contents; rows that repeat have the same."""
+    return messages.withColumn("key", F.xxhash64("message_id", "parent_id", "role", "text"))
 
-    Paths double: each round joins what is known of a message's oldest known ancestor in front, so that chains of n messages take log2(n) joins;
-    ``path`` is an array of (role, content). A message whose parent is missing begins no chain, and messages that only lead to each other have no root
-    and are left out. An id that repeats below itself is a cycle below a root and raises.
-    """
-    one = F.array(F.struct(F.col("role"), F.col("text").alias("content")))
-    state = _kept(messages.select("message_id", F.col("parent_id").alias("top"), F.array("message_id").alias("ids"), one.alias("path")))
+
+def _chains(keyed: DataFrame) -> DataFrame:
+    """(chain, message_id, ids): each message's chain from its root, without the texts: ``ids`` is an array of (id, key, role); see ``message_chains``."""
+    one = F.array(F.struct(F.col("message_id").alias("id"), "key", "role"))
+    state = _kept(keyed.select("message_id", F.col("parent_id").alias("top"), one.alias("ids")))
     out, open_ = state.where("top is null"), state.where("top is not null")
     while not open_.isEmpty():
-        above = out.unionAll(open_).select(F.col("message_id").alias("a_id"), F.col("top").alias("a_top"), F.col("ids").alias("a_ids"), F.col("path").alias("a_path"))
-        joined = open_.join(above, F.col("top") == F.col("a_id")).select("message_id", F.col("a_top").alias("top"), F.concat("a_ids", "ids").alias("ids"), F.concat("a_path", "path").alias("path"))
-        joined = _kept(joined.withColumn("again", F.size(F.array_distinct("ids")) < F.size("ids")))
+        above = out.unionAll(open_).select(F.col("message_id").alias("a_id"), F.col("top").alias("a_top"), F.col("ids").alias("a_ids"))
+        joined = open_.join(above, F.col("top") == F.col("a_id")).select("message_id", F.col("a_top").alias("top"), F.concat("a_ids", "ids").alias("ids"))
+        joined = _kept(joined.withColumn("again", F.size(F.array_distinct("ids.id")) < F.size("ids")))
         ended = joined.where("top is null")
         if not ended.where("again").isEmpty():
             raise ValueError("the messages' parents form a cycle")
         out, open_ = out.unionAll(ended.drop("again")), joined.where("top is not null and not again").drop("again")
-    return out.select("message_id", (F.size("path") - 1).alias("depth"), "path")
+    return out.select("message_id", "ids").withColumn("chain", F.monotonically_increasing_id())  # of kept rows: it stays
+
+
+def _paths(chains: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(chain, path): the (role, content) of each of ``ids``; texts are shuffled once, and once more for every chain they are in."""
+    said = keyed.select(F.col("message_id").alias("t_id"), F.col("key").alias("t_key"), F.col("role").alias("t_role"), "text").dropDuplicates(["t_id", "t_key"])
+    each = chains.select("chain", F.posexplode("ids").alias("at", "x")).select("chain", "at", F.col("x.id").alias("x_id"), F.col("x.key").alias("x_key"))
+    each = each.join(said, F.col("x_id").eqNullSafe(F.col("t_id")) & (F.col("x_key") == F.col("t_key")))
+    whole = each.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("at", F.col("t_role").alias("role"), F.col("text").alias("content")))).alias("path"))
+    return whole.select("chain", F.transform("path", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("path"))
+
+
+def message_chains(messages: DataFrame) -> DataFrame:
+    """(message_id, depth, path): messages (message_id, parent_id, role, text) with the chain from their root.
+
+    Chains double: each round joins what is known of a message's oldest known ancestor in front, so that chains of n messages take log2(n) joins; ids alone
+    go through them, texts are put in at the end. ``path`` is an array of (role, content). A message whose parent is missing begins no chain, and messages that
+    only lead to each other have no root and are left out. An id that repeats below itself is a cycle below a root and raises.
+    """
+    keyed = _keyed(messages)
+    chains = _chains(keyed)
+    return chains.join(_paths(chains, keyed), "chain").select("message_id", (F.size("path") - 1).alias("depth"), "path")
 
 
 def first_reply(replies: DataFrame, least_chars: int = 16) -> DataFrame:
@@ -73,12 +94,15 @@ def reply_prompts(rows: DataFrame, lang: str | None = "en", least_reviews: int =
     held = tree_messages(rows).where(~F.col("deleted") & F.col("role").isin("prompter", "assistant") & (F.coalesce("message_id", F.lit("")) != ""))
     if lang:
         held = held.where(F.col("lang") == lang)
-    chains = message_chains(held.select("message_id", "parent_id", "role", "text"))
+    keyed = _keyed(held.select("message_id", "parent_id", "role", "text"))
     replies = held.where((F.col("role") == "assistant") & (F.length(strip(F.coalesce("text", F.lit("")))) >= least_chars) & (F.col("review_count") >= least_reviews))
-    found = replies.drop("role", "text").join(chains, "message_id")
+    found = replies.drop("role", "text").join(_chains(keyed), "message_id").withColumn("depth", F.size("ids") - 1)
+    found = found.where((F.col("depth") > 0) & (F.get("ids", F.lit(0))["role"] == "prompter"))
+    before = found.select("chain", F.slice("ids", F.lit(1), F.col("depth")).alias("ids")).dropDuplicates(["chain"])
+    found = found.join(_paths(before, keyed), "chain")
     user = lambda m: F.when(m["role"] == "prompter", "user").otherwise("assistant")
-    before = F.transform(F.slice("path", F.lit(1), F.col("depth")), lambda m: F.struct(user(m).alias("role"), strip(F.coalesce(m["content"], F.lit(""))).alias("content")))
-    found = found.where((F.col("depth") > 0) & (F.get("path", F.lit(0))["role"] == "prompter")).withColumn("messages", before)
+    before = F.transform("path", lambda m: F.struct(user(m).alias("role"), strip(F.coalesce(m["content"], F.lit(""))).alias("content")))
+    found = found.withColumn("messages", before)
     rendered = F.length(chat_prompt(F.col("messages")))
     found = found.where((rendered > 0) & (rendered <= most_chars))
     order = ("tree_id", "rank", "message_id")
