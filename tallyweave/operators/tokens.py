@@ -94,6 +94,47 @@ def first_occurrence(df: DataFrame, keys: list[str], order: list[str], values: l
     return df.groupBy(*keys).agg(*(F.min_by(v, place).alias(v) for v in values), F.count("*").alias("times"))
 
 
+#: Bits of a stand-in token, see ``token_id``.
+TOKEN_BITS = 18
+#: Characters of text whose contexts one task takes: their table fits in its memory, so that nothing is spilled.
+TASK_CHARS = 20_000_000
+
+
+def first_grams(docs: DataFrame, text_col: str, order: list[str], *carried: str, part: str | None = None) -> DataFrame:
+    """(carried..., part, prev, cur, token, times): each context's first next token by the integer columns ``order`` and place, and how often it stands.
+
+    Contexts are of each carried value, and of each ``part`` (an int from 0 below 2^26). Where the ranges of ``order``, of places and tokens fit in 63 bits
+    together (the ranges are asked first), a context and its place with the token are shuffled as two numbers, else as columns. Nearly all contexts
+    of a task are different, so they are not combined before the shuffle, where their table would outgrow the task.
+    """
+    rows = docs.select(*order, text_col, *carried, *([part] if part else []))
+    asked = rows.agg(F.max(F.length(text_col)).alias("longest"), F.sum(F.length(text_col)).alias("chars"), *(f(c).alias(f"{f.__name__}_{c}") for c in order for f in (F.min, F.max))).first()
+    pos_bits, place, bits = ((asked["longest"] or 0) + 1).bit_length(), F.lit(0).cast("long"), 0
+    for c in order:  # null is 0, the least is 1
+        low, high = asked[f"min_{c}"] or 0, asked[f"max_{c}"] or 0
+        own = (high - low + 1).bit_length()
+        bits += own
+        if bits + pos_bits + TOKEN_BITS <= 63:
+            place = F.shiftleft(place, own) + F.coalesce(F.col(c).cast("long") - (low - 1), F.lit(0))
+    keys = [*carried, *([part] if part else [])]
+    if bits + pos_bits + TOKEN_BITS > 63:
+        own = [f"order_{i}" for i in range(len(order))]  # no name of ``bigrams``
+        rows = rows.withColumns({"id_": F.lit(0), **{o: F.col(c) for o, c in zip(own, order)}})
+        wide = bigrams(token_arrays(rows, "id_", text_col, *own, *keys), *own, *keys)
+        return first_occurrence(wide, [*keys, "prev", "cur"], [*own, "pos"], ["token"])
+    grams = bigrams(token_arrays(rows.withColumn("place_", place), "place_", text_col, *keys), *keys)
+    context = F.shiftleft(F.col("prev") + 1, TOKEN_BITS).bitwiseOR(F.col("cur"))
+    if part:
+        context = F.shiftleft(F.col(part).cast("long"), 2 * TOKEN_BITS).bitwiseOR(context)
+    at = F.shiftleft(F.shiftleft("id", pos_bits).bitwiseOR(F.col("pos").cast("long")), TOKEN_BITS).bitwiseOR(F.col("token"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(asked["chars"] or 0) // TASK_CHARS))
+    dealt = grams.select(*carried, context.alias("context_"), at.alias("at_")).repartition(tasks, *carried, "context_")
+    firsts = dealt.groupBy(*carried, "context_").agg(F.min("at_").alias("at_"), F.count("*").alias("times"))
+    low = lambda x: x.bitwiseAND(F.lit((1 << TOKEN_BITS) - 1))
+    own = [F.shiftright("context_", 2 * TOKEN_BITS).cast("int").alias(part)] if part else []
+    return firsts.select(*carried, *own, (low(F.shiftright("context_", TOKEN_BITS)) - 1).alias("prev"), low(F.col("context_")).alias("cur"), low(F.col("at_")).alias("token"), "times")
+
+
 def shard_order(id_: Column, world: int) -> Column:
     """One integer that orders rows dealt round robin by rank, then local place; ids from 0 on."""
     rank, place = shard(id_, world)

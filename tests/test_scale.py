@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import keyed_hash, sql, stats, text
-from tallyweave.operators import indexing, pairs, scoring, tokens
+from tallyweave.operators import indexing, pairs, scoring, tokens, trees
 from tallyweave.sources import artifacts, jsonl, traces
 from tallyweave.streaming import dedup, sink
 
@@ -215,6 +215,42 @@ def test_report_hashes_the_whole_sequence(spark):
     assert [r["x"] for r in empty] == [hashlib.sha256(b"").hexdigest()]
 
 
+def test_first_grams(spark):
+    said = [(7, "a b a b c", "x"), (3, "A b d a", None), (None, "a b", "x"), (9, None, "x"), (-4, "q", "y")]
+    ids = lambda text: [int(hashlib.md5(w.encode()).hexdigest()[:15], 16) % 151936 for w in text.lower().split(" ")]
+    for ends in ([], [(-(1 << 62), "a b e", "y"), (1 << 62, "z z z", "y")]):  # ids of so wide a range do not fit in one number
+        want = {}
+        for i, said_, g in sorted(said + ends, key=lambda r: (r[0] is not None, r[0] or 0)):
+            t = ids(said_) if said_ else []
+            for prev, cur, token in zip([-1, *t], t, t[1:]):
+                first, n = want.get((g, prev, cur), (token, 0))
+                want[g, prev, cur] = first, n + 1
+        df = spark.createDataFrame(said + ends, "id long, t string, g string")
+        got = tokens.first_grams(df, "t", ["id"], "g").collect()
+        assert {(r["g"], r["prev"], r["cur"]): (r["token"], r["times"]) for r in got} == want and len(got) == len(want)
+    parts = df.where("g is not null").withColumn("p", (F.col("g") == "y").cast("int") * 70000).where("abs(id) < 100 or id is null")
+    plain = parts.select("*", F.col("id").alias("k"))
+    got = {(r["p"], r["prev"], r["cur"], r["token"], r["times"]) for r in tokens.first_grams(plain, "t", ["k"], part="p").collect()}
+    assert got == {(r["p"], r["prev"], r["cur"], r["token"], r["times"]) for r in tokens.first_grams(plain, "t", ["k"], "p").collect()} and got
+
+
+def test_plans_shuffle_no_words(spark, sf_dir):
+    entry = pytest.importorskip("__spark_entry__")
+    plan = lambda name: _plan(entry.queries()[name](spark, sf_dir))
+    assert "Exchange" not in plan("sql_ngrams") and "lambda" not in plan("sql_signal_by_source").split("Project")[1]
+    aligned = plan("offset_alignment")
+    assert "Window" not in aligned and "Join" not in aligned
+    assert "decimal" not in plan("signal_test") and "BroadcastHashJoin" in plan("pooled_score_sums")
+
+
+def test_chains_are_found_without_texts(spark):
+    rows = [(1, None, "prompter", "a"), (2, 1, "assistant", "b"), (2, 1, "assistant", "b"), (3, 2, "prompter", None)]
+    messages = spark.createDataFrame(rows, "message_id long, parent_id long, role string, text string")
+    assert [f.name for f in trees._chains(trees._keyed(messages)).schema["ids"].dataType.elementType] == ["id", "key", "role"]
+    got = sorted((r["message_id"], [m["content"] for m in r["path"]]) for r in trees.message_chains(messages).collect())
+    assert got == [(1, ["a"]), (2, ["a", "b"]), (2, ["a", "b"]), (3, ["a", "b", None]), (3, ["a", "b", None])]
+
+
 def test_blank_contents_give_no_prompt(spark):
     df = spark.createDataFrame([([("prompter", " hi\n"), ("assistant", "yes")],), ([("user", "  ")],), ([(None, "x")],)], "m array<struct<role string, content string>>")
     got = [r[0] for r in df.select(text.chat_prompt(F.col("m"))).collect()]
